@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 #: ``[^\x20\x09-\x0D]+``: a word, wherever words are counted or shingled.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +43,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def ship() -> None:
+    """Give the session's executors this package, once: its Python functions import it there."""
+    context = SparkSession.active().sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tidelake-")) / f"{root.name}-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def as_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import hash_share
+from tidelake.llm.common import hash_share, ship
 
 UNDETERMINED = "und"
 RESULT = "lang string, score double, ambiguous boolean, margin double"
@@ -136,6 +136,7 @@ class LanguageModel:
     def column(self, text: Column) -> Column:
         """struct<lang, score, ambiguous, margin> of a text column."""
         model = self
+        ship()
 
         @F.pandas_udf(RESULT)
         def identify(texts: pd.Series) -> pd.DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import as_table, skew_join
+from tidelake.llm.common import as_table, ship, skew_join
 
 
 @dataclass(frozen=True)
@@ -160,6 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
+    ship()
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return rows.mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -14,6 +14,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(load(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelake.llm.toxicity import fit_toxicity
 
@@ -24,12 +30,58 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm.mixing import mix
+
+    return mix(load(spark, sf_dir, "documents"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm.neardup import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm.urlfilter import Rule, UrlFilterConfig, judge_urls
+
+    rules = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
+    return judge_urls(load(spark, sf_dir, "pages"), config=UrlFilterConfig(rules=rules))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelake.llm.packing import pack_documents
 
     return pack_documents(load(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm.warc import archive_folder, read_records, write_archives
+
+    index = write_archives(load(spark, sf_dir, "pages"), archive_folder(spark))
+    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm.secrets import KINDS, find_secrets, span_text
+
+    found = find_secrets(load(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def number(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
+    return found.select("doc_id", *map(number, range(3)), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), live)
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelake.llm.ann import nearest
+
+    vectors = load(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelake.llm.langid import fit_languages
 
@@ -40,13 +92,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.ambiguous").alias("ambiguous"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {
-        "op2_toxicity": op2_toxicity,
-        "op6_packing": op6_packing,
-        "op10_language": op10_language,
-    }
+    found = [op1_fingerprints, op2_toxicity, op3_mixing, op4_near_duplicates, op5_url_filter, op6_packing, op7_warc, op8_secrets, op9_neighbours, op10_language, pipeline]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tidelake.llm.mixing import mix_sql
+
+    return {"op3_mixing": mix_sql()}

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import hash_share
+from tidelake.llm.common import hash_share, ship
 
 
 @dataclass(frozen=True)
@@ -160,6 +160,7 @@ class ToxicityModel:
 
     def column(self, text: Column) -> Column:
         model = self
+        ship()
 
         @F.pandas_udf("double")
         def toxicity(texts: pd.Series) -> pd.Series:
