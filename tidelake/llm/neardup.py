@@ -38,6 +38,8 @@ class NearDupConfig:
     similarity: float = SIMILARITY
     bands: int = 30
     rows: int = 6
+    #: Shingles that are signed in one go.
+    chunk: int = 60_000
 
     @property
     def coordinates(self) -> int:
@@ -59,56 +61,68 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _regions(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Cells [0,1), [1,2), [2,4), ... of the weight axis that each element reaches: seed, start, width, weight."""
-    seeds, starts, widths, tops = [], [], [], []
+def _regions(sets: np.ndarray, elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Cells [0,1), [1,2), [2,4), ... of the weight axis that each element reaches: set, seed, start, width, weight."""
+    parts = []
     start, width, cell = 0.0, 1.0, 0
     while (reach := weights > start).any():
-        seeds.append(_mixed(elements[reach] + np.uint64(cell * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
-        starts.append(np.full(reach.sum(), start))
-        widths.append(np.full(reach.sum(), width))
-        tops.append(weights[reach])
+        n = int(reach.sum())
+        seed = _mixed(elements[reach] + np.uint64(cell * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        parts.append((sets[reach], seed, np.full(n, start), np.full(n, width), weights[reach]))
         start, width, cell = start + width, max(1.0, start + width), cell + 1
-    return np.concatenate(seeds), np.concatenate(starts), np.concatenate(widths), np.concatenate(tops)
-
-
-def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int) -> np.ndarray:
-    """The id of each coordinate's earliest dart. ``elements`` are distinct uint64, ``weights`` positive."""
-    seeds, starts, widths, tops = _regions(elements, weights)
-    bound = coordinates * (np.log(coordinates) + 2) / weights.sum()
-    while True:
-        at, rank, seed = np.arange(len(seeds)), np.zeros(len(seeds)), seeds
-        ranks, places, ids = [], [], []
-        turn = 1
-        while len(at):
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def dart_signatures(sets: np.ndarray, elements: np.ndarray, weights: np.ndarray, count: int, coordinates: int) -> np.ndarray:
+    """(count, coordinates) ids of the earliest darts of ``count`` weighted sets.
+
+    ``sets`` numbers the set of each element, every set has elements. Elements
+    (uint64) are distinct within a set, weights positive.
+    """
+    out, todo = np.zeros((count, coordinates), np.uint64), np.ones(count, bool)
+    bound = coordinates * (np.log(coordinates) + 2) / np.bincount(sets, weights, count)
+    while todo.any():
+        own = todo[sets]
+        at_set, seed, start, width, top = _regions(sets[own], elements[own], weights[own])
+        rank, turn, found = np.zeros(len(seed)), 1, []
+        while len(seed):
             dart = _mixed(seed + np.uint64(turn * 0xD1342543DE82EF95 & (1 << 64) - 1))
-            rank = rank - np.log(_unit(dart)) / widths[at]
-            early = rank < bound
-            at, rank, seed, dart = at[early], rank[early], seed[early], dart[early]
+            rank = rank - np.log(_unit(dart)) / width
+            early = rank < bound[at_set]
+            at_set, seed, start, width, top, rank, dart = (x[early] for x in (at_set, seed, start, width, top, rank, dart))
             fall = _mixed(dart ^ np.uint64(0xA0761D6478BD642F))
-            hits = starts[at] + widths[at] * _unit(fall) < tops[at]
-            ids.append(fall[hits])
-            ranks.append(rank[hits])
-            places.append(_mixed(fall[hits]) % np.uint64(coordinates))
+            hits = start + width * _unit(fall) < top
+            place = at_set[hits] * coordinates + (_mixed(fall[hits]) % np.uint64(coordinates)).astype(np.int64)
+            found.append((place, rank[hits], fall[hits]))
             turn += 1
-        rank, place, dart = np.concatenate(ranks), np.concatenate(places).astype(int), np.concatenate(ids)
-        order = np.argsort(-rank, kind="stable")
-        signature, filled = np.zeros(coordinates, np.uint64), np.zeros(coordinates, bool)
-        signature[place[order]] = dart[order]  # of darts in one place the last, which is the earliest, stays
-        filled[place] = True
-        if filled.all():
-            return signature
-        bound *= 2
-
-
-def band_keys(hashes: np.ndarray, config: NearDupConfig) -> np.ndarray:
-    """One 64-bit key per band of the signature of a set of shingle hashes, all of weight 1."""
-    elements = np.unique(np.asarray(hashes, np.int64)).view(np.uint64)
-    rows = dart_signature(elements, np.ones(len(elements)), config.coordinates).reshape(config.bands, config.rows)
-    key = np.arange(1, config.bands + 1, dtype=np.uint64)
-    for column in rows.T:
-        key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + column)
-    return key.view(np.int64)
+        place, ranks, ids = (np.concatenate(x) for x in zip(*found))
+        best = np.full(count * coordinates, np.inf)
+        np.minimum.at(best, place, ranks)
+        first = ranks == best[place]
+        out.reshape(-1)[place[first]] = ids[first]
+        # Where a coordinate stayed empty, darts of later ranks are thrown as well.
+        todo &= np.isinf(best).reshape(count, coordinates).any(1)
+        bound = np.where(todo, bound * 2, bound)
+    return out
+
+
+def band_keys(batch: list[np.ndarray], config: NearDupConfig) -> list[np.ndarray]:
+    """The 64-bit band keys of each set of shingle hashes; every shingle has weight 1."""
+    keys: list[np.ndarray] = []
+    at = 0
+    while at < len(batch):
+        own, size = [], 0
+        while at < len(batch) and (not own or size + len(batch[at]) <= config.chunk):
+            own.append(np.unique(np.asarray(batch[at], np.int64)).view(np.uint64))
+            size += len(batch[at])
+            at += 1
+        sets = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        rows = dart_signatures(sets, np.concatenate(own), np.ones(len(sets)), len(own), config.coordinates).reshape(-1, config.bands, config.rows)
+        key = np.broadcast_to(np.arange(1, config.bands + 1, dtype=np.uint64), rows.shape[:2])
+        for r in range(config.rows):
+            key = _mixed(key * np.uint64(0x2545F4914F6CDD1D) + rows[:, :, r])
+        keys += list(key.view(np.int64))
+    return keys
 
 
 def with_bands(shingled: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -118,7 +132,7 @@ def with_bands(shingled: DataFrame, config: NearDupConfig) -> DataFrame:
     def sign(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "content": batch["content"], "bands": [band_keys(x, config) for x in batch["shingles"]]})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "content": batch["content"], "bands": band_keys(list(batch["shingles"]), config)})
 
     return shingled.mapInPandas(sign, "doc_id long, content string, bands array<bigint>")
 
