@@ -88,7 +88,7 @@ class LanguageModel:
         for text, k in zip(texts, y):
             one = gram_counts(text, config.bins)
             counts[k] += one / max(1.0, np.sqrt(one.sum()))
-        share = counts + config.smoothing * max(counts.sum(), 1.0) / counts.size
+        share = counts + config.smoothing * max(counts.sum(), 1.0) / max(counts.size, 1)
         share /= np.maximum(share.sum(1, keepdims=True), 1e-12)
         weights = np.zeros((config.bins, code.shape[1]), np.float32)
         for bit in range(code.shape[1]):

@@ -42,7 +42,7 @@ class UrlFilterConfig:
     iterations: int = 20
     #: Iterations between two stored rank tables.
     store_every: int = 4
-    least_mass: float = 1.0
+    least_mass: float = 0.5
 
 
 def host_of(url: Column) -> Column:
