@@ -60,7 +60,7 @@ def test_urls_match_one_to_one(spark, snapshot):
 
 def test_deadline(spark):
     assert len(collect_within(spark.range(3))) == 3
-    slow = spark.range(0, 400, numPartitions=4).select(F.expr("aggregate(sequence(1, 2000000), 0D, (a, x) -> a + sqrt(x + id))").alias("v"))
+    slow = spark.range(0, 200, numPartitions=200).select(F.expr("aggregate(sequence(1, 2000000 + CAST(id AS INT)), 0D, (a, x) -> a + sqrt(x + id))").alias("v"))
     with pytest.raises(QueryError) as error:
         collect_within(slow.agg(F.max("v")), 0.2)
     assert "longer" in error.value.message

@@ -54,21 +54,24 @@ def within_narrow_budget(files: DataFrame, max_rows: int, max_bytes: int) -> Non
 
 def collect_within(df: DataFrame, seconds: float = DEADLINE) -> list:
     """``df.collect()``, stopped after ``seconds``; then an error that names the deadline."""
-    context, tag, late = df.sparkSession.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+    session, tag, late, done = df.sparkSession, f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
-        late.set()
-        context.cancelJobsWithTag(tag)
-
-    timer = threading.Timer(seconds, stop)
-    context.addJobTag(tag)
-    timer.start()
+        # Again and again: at the deadline the query's next job may not have begun.
+        if not done.wait(seconds):
+            late.set()
+            while not done.wait(0.2):
+                session.interruptTag(tag)
+
+    session.addTag(tag)
+    threading.Thread(target=stop, daemon=True).start()
     try:
-        return df.collect()
+        rows = df.collect()
     except Exception as error:
         if late.is_set():
             raise QueryError(ErrorCode.EXECUTION_FAILED, f"the query ran longer than {seconds:g} s") from error
         raise as_query_error(error) if isinstance(error, PySparkException) else error
     finally:
-        timer.cancel()
-        context.removeJobTag(tag)
+        done.set()
+        session.removeTag(tag)
+    return rows

@@ -43,7 +43,7 @@ class ArrowCursor:
 
     def cancel(self) -> None:
         self.cancelled = True
-        self.df.sparkSession.sparkContext.cancelJobsWithTag(self.tag)
+        self.df.sparkSession.interruptTag(self.tag)
 
     def close(self) -> None:
         self.closed = True
@@ -60,8 +60,8 @@ class ArrowCursor:
         return chunk
 
     def _batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        context = self.df.sparkSession.sparkContext
-        context.addJobTag(self.tag)
+        session = self.df.sparkSession
+        session.addTag(self.tag)
         try:
             rows, names = [], self.df.columns
             for row in self.df.toLocalIterator(prefetchPartitions=False):
@@ -74,7 +74,7 @@ class ArrowCursor:
             if rows and names:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
         finally:
-            context.removeJobTag(self.tag)
+            session.removeTag(self.tag)
 
     def __iter__(self) -> Iterator[Chunk]:
         schema = self.df.limit(0).toArrow().schema
