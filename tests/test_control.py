@@ -60,9 +60,17 @@ def test_urls_match_one_to_one(spark, snapshot):
 
 def test_deadline(spark):
     assert len(collect_within(spark.range(3))) == 3
-    slow = spark.range(0, 200, numPartitions=200).select(F.expr("aggregate(sequence(1, 2000000 + CAST(id AS INT)), 0D, (a, x) -> a + sqrt(x + id))").alias("v"))
+
+    def sleep(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(2)
+            yield batch
+
+    slow = spark.range(0, 40, numPartitions=40).mapInPandas(sleep, "id long")
     with pytest.raises(QueryError) as error:
-        collect_within(slow.agg(F.max("v")), 0.2)
+        collect_within(slow, 1.0)
     assert "longer" in error.value.message
 
 

@@ -54,16 +54,16 @@ def within_narrow_budget(files: DataFrame, max_rows: int, max_bytes: int) -> Non
 
 def collect_within(df: DataFrame, seconds: float = DEADLINE) -> list:
     """``df.collect()``, stopped after ``seconds``; then an error that names the deadline."""
-    session, tag, late, done = df.sparkSession, f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+    context, tag, late, done = df.sparkSession.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
         # Again and again: at the deadline the query's next job may not have begun.
         if not done.wait(seconds):
             late.set()
             while not done.wait(0.2):
-                session.interruptTag(tag)
+                context.cancelJobsWithTag(tag)
 
-    session.addTag(tag)
+    context.addJobTag(tag)
     threading.Thread(target=stop, daemon=True).start()
     try:
         rows = df.collect()
@@ -73,5 +73,5 @@ def collect_within(df: DataFrame, seconds: float = DEADLINE) -> list:
         raise as_query_error(error) if isinstance(error, PySparkException) else error
     finally:
         done.set()
-        session.removeTag(tag)
+        context.removeJobTag(tag)
     return rows
