@@ -72,21 +72,21 @@ def bind(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of ``text``; none for null or blank text."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    spaced = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, GAP, -1))
 
 
-def shingle_hashes(text: Column) -> Column:
-    """64-bit hashes of the five-word shingles; a shorter text is one shingle."""
+def shingles_of(words: Column) -> Column:
+    """64-bit hashes of the five-word shingles of an array of words; a shorter one is one shingle."""
+    last = F.greatest(F.size(words) - F.lit(SHINGLE_WORDS), F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(SHINGLE_WORDS)]),
+    )
 
-    def of(words: Column) -> Column:
-        last = F.greatest(F.size(words) - F.lit(SHINGLE_WORDS), F.lit(0))
-        return F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.xxhash64(*[F.get(words, i + F.lit(k)) for k in range(SHINGLE_WORDS)]),
-        )
 
-    return bind(words_of(text), of)
+def shingle_hashes(text: Column) -> Column:
+    return bind(words_of(text), shingles_of)
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

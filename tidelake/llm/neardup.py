@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import SIMILARITY, as_table, bind, shingle_hashes, ship, skew_join, words_of
+from tidelake.llm.common import SIMILARITY, as_table, bind, shingle_hashes, shingles_of, ship, skew_join, words_of
 from tidelake.llm.components import components
 
 
@@ -175,8 +175,8 @@ def _missed_pairs(texts: DataFrame, parts: DataFrame, config: NearDupConfig) ->
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """doc_id, class_id (the least id of the class), keep: one row per document."""
     whole = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    content = F.md5(F.concat_ws(" ", words_of(F.col("text"))))
-    shingled = whole.where("doc_id is not null").select(F.col("doc_id").cast("long"), content.alias("content"), shingle_hashes(F.col("text")).alias("shingles"))
+    worded = whole.where("doc_id is not null").select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words"))
+    shingled = worded.select("doc_id", F.md5(F.concat_ws(" ", "words")).alias("content"), shingles_of(F.col("words")).alias("shingles"))
     signed = as_table(with_bands(shingled, config), "dup-bands")
     firsts = as_table(signed.groupBy("content").agg(F.min("doc_id").alias("doc_id")), "dup-firsts")
 
