@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "flagship_grouped_sum", "filter_and_flatten", "case_conditional_sum", "group_by_multi", "spill_style_expanded_groupby", "count_distinct", "two_level_aggregate",
-    "row_number_external_sort", "running_sum_rows", "top_k", "order_multi_key", "in_subquery_semi", "not_exists_anti", "star_join_revenue_by_nation", "union_distinct", "rollup", "cte_grouped_sum", "delta_partition_prune",
+    "row_number_external_sort", "running_sum_rows", "top_k", "order_multi_key", "in_subquery_semi", "not_exists_anti", "star_join_revenue_by_nation", "union_distinct", "rollup", "cte_grouped_sum",
 )
 
 
