@@ -152,24 +152,30 @@ def verified(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataF
     return both.where(bind(sets, jaccard) >= F.lit(config.similarity)).select("a", "b")
 
 
-def _missed_pairs(texts: DataFrame, parts: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Pairs across components that share a rare shingle of both prefixes: all that can reach the similarity.
+def _missed_links(texts: DataFrame, parts: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Links (a, b) across components, by an exact join on the rarest shingles.
 
     A document of n shingles must share one of its n - ceil(s n) + 1 rarest with
-    any partner at similarity s or more.
+    any partner at similarity s or more. The sets are made once per document, as
+    a document can be in many pairs here.
     """
-    shingles = skew_join(texts, parts, ["doc_id"]).select("doc_id", "component", F.array_distinct(shingle_hashes(F.col("text"))).alias("set"))
-    rows = as_table(shingles.select("doc_id", "component", F.size("set").alias("n"), F.explode("set").alias("shingle")), "dup-shingles")
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("doc_id").orderBy("df", "shingle")
-    ranked = skew_join(rows, counts, ["shingle"]).withColumn("r", F.row_number().over(order))
+    sets = skew_join(texts, parts, ["doc_id"]).select("doc_id", "component", F.array_distinct(shingle_hashes(F.col("text"))).alias("set"))
+    sets = as_table(sets, "dup-sets")
+    rows = sets.select("doc_id", "component", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(1)), "shingle")
+    ranked = skew_join(rows, counts, ["shingle"], "left").withColumn("r", F.row_number().over(order))
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * config.similarity - 1e-9) + 1).where("df > 1")
     prefix = as_table(prefix.select("doc_id", "component", "n", "shingle"), "dup-prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     open_rows = as_table(skew_join(prefix, mixed, ["shingle"]), "dup-open")
     a, b = (open_rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n")]) for s in "ab")
     pairs = a.join(b, "shingle").where("component_a < component_b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * config.similarity)
-    return pairs.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    pairs = pairs.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    first = skew_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), ["a"])
+    both = skew_join(first, sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), ["b"])
+    jaccard = bind(F.size(F.array_intersect("set_a", "set_b")), lambda n: n / (F.size("set_a") + F.size("set_b") - n))
+    return both.where(jaccard >= F.lit(config.similarity)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", config: NearDupConfig = NearDupConfig()) -> DataFrame:
@@ -196,7 +202,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     mixed = parts.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     doubt = as_table(skew_join(parts, mixed, ["band"]).groupBy("doc_id", "component").agg(F.lit(1).alias("one")).select("doc_id", "component"), "dup-doubt")
     if not doubt.isEmpty():
-        more = as_table(verified(_missed_pairs(texts, doubt, config), texts, config), "dup-more")
+        more = as_table(_missed_links(texts, doubt, config), "dup-more")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
