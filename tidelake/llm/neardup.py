@@ -7,7 +7,7 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 1. Documents of equal words collapse to their least id.
 2. Bands of coordinates are joined: every document of a bucket is paired with
-   the bucket's least document, and the pair is checked on the exact shingle
+   the bucket's shortest document, and the pair is checked on the exact shingle
    sets. Checked pairs form components.
 3. Where a bucket still spans several components, a link between two of its
    documents may have been missed. Their documents go through an exact prefix
@@ -126,15 +126,15 @@ def band_keys(batch: list[np.ndarray], config: NearDupConfig) -> list[np.ndarray
 
 
 def with_bands(shingled: DataFrame, config: NearDupConfig) -> DataFrame:
-    """(doc_id, content, bands) of (doc_id, content, shingles)."""
+    """(doc_id, content, size, bands) of (doc_id, content, shingles)."""
     ship()
 
     def sign(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "content": batch["content"], "bands": band_keys(list(batch["shingles"]), config)})
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "content": batch["content"], "size": [len(x) for x in batch["shingles"]], "bands": band_keys(list(batch["shingles"]), config)})
 
-    return shingled.mapInPandas(sign, "doc_id long, content string, bands array<bigint>")
+    return shingled.mapInPandas(sign, "doc_id long, content string, size int, bands array<bigint>")
 
 
 # ---------------------------------------------------------------- joining
@@ -156,7 +156,8 @@ def _missed_links(texts: DataFrame, parts: DataFrame, config: NearDupConfig) ->
     """Links (a, b) across components, by an exact join on the rarest shingles.
 
     A document of n shingles must share one of its n - ceil(s n) + 1 rarest with
-    any partner at similarity s or more. The sets are made once per document, as
+    any partner at similarity s or more, and the first one that they share must
+    leave enough behind it for the overlap that s asks for. The sets are made once per document, as
     a document can be in many pairs here.
     """
     sets = skew_join(texts, parts, ["doc_id"]).select("doc_id", "component", F.array_distinct(shingle_hashes(F.col("text"))).alias("set"))
@@ -166,11 +167,14 @@ def _missed_links(texts: DataFrame, parts: DataFrame, config: NearDupConfig) ->
     order = Window.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(1)), "shingle")
     ranked = skew_join(rows, counts, ["shingle"], "left").withColumn("r", F.row_number().over(order))
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * config.similarity - 1e-9) + 1).where("df > 1")
-    prefix = as_table(prefix.select("doc_id", "component", "n", "shingle"), "dup-prefixes")
+    prefix = as_table(prefix.select("doc_id", "component", "n", "r", "shingle"), "dup-prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     open_rows = as_table(skew_join(prefix, mixed, ["shingle"]), "dup-open")
-    a, b = (open_rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n")]) for s in "ab")
-    pairs = a.join(b, "shingle").where("component_a < component_b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * config.similarity)
+    a, b = (open_rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n", "r")]) for s in "ab")
+    # At a pair's first common shingle, what follows it in both bounds their overlap.
+    reach = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) + 1
+    enough = reach >= (F.col("n_a") + F.col("n_b")) * (config.similarity / (1 + config.similarity)) - 1e-6
+    pairs = a.join(b, "shingle").where("component_a < component_b").where(enough)
     pairs = pairs.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     first = skew_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), ["a"])
     both = skew_join(first, sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), ["b"])
@@ -187,9 +191,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     firsts = as_table(signed.groupBy("content").agg(F.min("doc_id").alias("doc_id")), "dup-firsts")
 
     single = signed.join(firsts, ["content", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    banded = single.select("doc_id", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
-    shared = as_table(skew_join(banded, centres, ["band"]), "dup-buckets")
+    banded = single.select("doc_id", "size", F.explode("bands").alias("band"))
+    # The shortest document of a bucket is likest to the others where they share a passage.
+    centres = banded.groupBy("band").agg(F.min(F.struct("size", "doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("band", F.col("first.doc_id").alias("centre"))
+    shared = as_table(skew_join(banded.select("doc_id", "band"), centres, ["band"]), "dup-buckets")
     involved = shared.groupBy("doc_id").agg(F.lit(1).alias("one")).select("doc_id")
     texts = as_table(whole.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dup-texts")
 
