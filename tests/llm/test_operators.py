@@ -426,6 +426,29 @@ def test_neighbours_odd_rows(spark):
     assert (unpack_nibbles(pack_nibbles(codes), 5) == codes).all()
 
 
+@pytest.mark.parametrize("kind", ["large", "groups"])
+def test_neighbours_are_exact_past_the_first_rows(spark, tmp_path, kind):
+    """Tables in one partition, far larger than the rows that are measured first; near copies that outnumber them."""
+    from tidelake.llm.ann import nearest
+
+    rng = np.random.RandomState(3)
+    if kind == "large":
+        x = rng.normal(size=(60_000, 64))
+    else:
+        x = np.repeat(rng.normal(size=(20, 64)) / 8, 1000, 0) + 0.02 * rng.normal(size=(20_000, 64))
+    x = (x / np.sqrt((x**2).sum(1, keepdims=True))).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(tmp_path / "x.parquet")
+    vectors = spark.read.parquet(f"file://{tmp_path}/x.parquet").coalesce(1)
+    step = len(x) // 40
+    got = nearest(vectors, vectors.where(f"vec_id % {step} = 0")).toPandas().sort_values(["query_id", "rank"])
+    exact, hits, n = x.astype(np.float64), 0, 0
+    for i in range(0, len(x), step):
+        d = np.sqrt(((exact - exact[i]) ** 2).sum(1))
+        best = [j for j in np.lexsort((np.arange(len(x)), d))[:20] if j != i][:10]
+        hits, n = hits + len(set(got[got.query_id == i].vec_id) & set(best)), n + 10
+    assert hits / n == 1
+
+
 # ---------------------------------------------------------------- 10 languages
 
 

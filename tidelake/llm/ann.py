@@ -5,7 +5,13 @@ along a vector costs more than error across it, which is what distorts large
 inner products. A query is turned into tables of inner products with the
 codebooks; scanning the codes with them, together with each vector's exact
 norm, ranks the rows by approximate Euclidean distance. The best of every
-partition are measured exactly on their original vectors.
+partition are measured exactly on their original vectors, and after them every
+row that could still be nearer than the k-th of those.
+
+A row's index entry holds its component along its decoded vector and the length
+of what is left over. With the query's product from the tables they bound the
+exact distance from below, so a row whose bound exceeds the k-th exact distance
+is none of the k nearest: the result is that of an exhaustive search.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do rows without an id or of another dimension than the most common
@@ -36,7 +42,7 @@ class AnnConfig:
     #: Inner products above this share of the norms' product are the ones to get right.
     threshold: float = 0.2
     fits: int = 3
-    #: Rows of each partition that are measured exactly, per query.
+    #: Rows of each partition that are measured exactly first, per query; the bound decides on the others.
     rerank: int = 100
     #: Queries that are searched in one pass over the index.
     block: int = 2048
@@ -109,6 +115,9 @@ class AnisotropicCodes:
         left[np.arange(size), np.arange(size)] += 1e-6
         return np.linalg.solve(left, right).reshape(self.books.shape)
 
+    def decode(self, codes: np.ndarray, d: int) -> np.ndarray:
+        return self.books[np.arange(len(self.books))[None], codes].reshape(len(codes), -1)[:, :d]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(queries, parts, centres) inner products."""
         return np.einsum("qmw,mcw->qmc", self._blocks(queries.astype(np.float64)), self.books).astype(np.float32)
@@ -137,50 +146,104 @@ def searchable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
     return rows.where(F.size("embedding") == (common[0]["d"] if common else -1))
 
 
+def split_along(x: np.ndarray, decoded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length of the decoded vector, component of ``x`` along it, length of the rest of ``x``).
+
+    A decoded vector that is far too short gives no direction: its length counts
+    as 0, and all of ``x`` is rest.
+    """
+    length, own = np.sqrt((decoded**2).sum(1)), np.sqrt((x**2).sum(1))
+    length = np.where(length > own / 1000, length, 0.0)
+    unit = decoded * np.where(length > 0, 1 / np.where(length > 0, length, 1.0), 0.0)[:, None]
+    along = (x * unit).sum(1)
+    return length, along, np.sqrt(((x - along[:, None] * unit) ** 2).sum(1))
+
+
 def build_index(rows: DataFrame, codes: AnisotropicCodes) -> DataFrame:
-    """(vec_id, codes, norm, embedding) of every row, stored."""
+    """(vec_id, codes, length, along, rest, embedding) of every row, stored."""
 
     def encode(batches):
         for batch in batches:
             if len(batch):
                 x = np.stack(batch["embedding"].array).astype(np.float64)
-                packed = pack_nibbles(codes.encode(x))
-                yield pd.DataFrame({"vec_id": batch["vec_id"], "codes": [p.tobytes() for p in packed], "norm": (x**2).sum(1), "embedding": batch["embedding"]})
+                code = codes.encode(x)
+                length, along, rest = split_along(x, codes.decode(code, x.shape[1]))
+                packed = [p.tobytes() for p in pack_nibbles(code)]
+                yield pd.DataFrame({"vec_id": batch["vec_id"], "codes": packed, "length": length, "along": along, "rest": rest, "embedding": batch["embedding"]})
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    return as_table(rows.mapInPandas(encode, f"vec_id long, codes binary, norm double, embedding {kind}"), "ann-index")
+    return as_table(rows.mapInPandas(encode, f"vec_id long, codes binary, length double, along double, rest double, embedding {kind}"), "ann-index")
+
+
+def _least_squares(product: np.ndarray, slack: float, query: float, length: np.ndarray, along: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Bounds from below of the squared distances of a query of squared norm ``query``.
+
+    ``product`` is the query's product with the decoded vectors, off by
+    ``slack`` at most. It gives the query's component along the decoded vector;
+    the rests of query and row may at best point the same way.
+    """
+    inverse = np.where(length > 0, 1 / np.where(length > 0, length, 1.0), 0.0)
+    own, off = product * inverse, slack * inverse
+    across = np.sqrt(np.maximum(query - np.maximum(np.abs(own) - off, 0.0) ** 2, 0.0))
+    norm = along**2 + rest**2
+    least = query + norm - 2 * (own * along + off * np.abs(along) + across * rest) - 1e-12 * (query + norm)
+    return np.where(np.isnan(least), -np.inf, least)
+
+
+def _nearest_exact(vectors: np.ndarray, own: np.ndarray, score: np.ndarray, least: np.ndarray, ident: int, query: np.ndarray, config: AnnConfig):
+    """(rows, distances) of the ``k`` rows nearest to a query: the best by ``score``, then by rising bound until it closes."""
+    rows, far = np.zeros(0, np.intp), np.zeros(0)
+
+    def measure(more: np.ndarray) -> float:
+        nonlocal rows, far
+        more = more[own[more] != ident]
+        exact = np.sqrt(((vectors[more].astype(np.float64) - query) ** 2).sum(1))
+        rows, far = np.concatenate([rows, more]), np.concatenate([far, exact])
+        best = np.lexsort((own[rows], far))[: config.k]
+        rows, far = rows[best], far[best]
+        return far[-1] if len(far) == config.k else np.inf
+
+    keep = min(max(config.rerank, config.k), len(own))
+    first = np.argpartition(score, keep - 1)[:keep]
+    edge = measure(first)
+    open_ = ~(least > edge**2 * (1 + 1e-12))
+    open_[first] = False
+    left = np.flatnonzero(open_)
+    left = left[np.argsort(least[left])]
+    for a in range(0, len(left), 4096):
+        if least[left[a]] > edge**2 * (1 + 1e-12):
+            break
+        edge = measure(left[a : a + 4096])
+    return rows, far
 
 
 def _search_partition(batches, codes: AnisotropicCodes, ids: np.ndarray, queries: np.ndarray, config: AnnConfig):
     held = [b for b in batches if len(b)]
     if not held:
         return
-    frame = pd.concat(held).sort_values("vec_id", kind="stable")
-    own, norm = frame["vec_id"].to_numpy(), frame["norm"].to_numpy()
+    frame = pd.concat(held)
+    own, (length, along, rest) = frame["vec_id"].to_numpy(), (frame[c].to_numpy() for c in ("length", "along", "rest"))
+    norm = along**2 + rest**2
     code = unpack_nibbles(np.frombuffer(b"".join(frame["codes"]), np.uint8).reshape(len(frame), -1), len(codes.books)).astype(np.intp)
     vectors = np.stack(frame["embedding"].array)
-    keep = min(config.rerank, len(frame))
     out = []
     for a in range(0, len(ids), 64):
         table = codes.tables(queries[a : a + 64])
         product = np.zeros((len(table), len(frame)), np.float32)
         for m in range(table.shape[1]):
             product += table[:, m, :][:, code[:, m]]
-        score = norm[None] / 2 - product
-        edge = np.partition(score, keep - 1, 1)[:, keep - 1]
+        # Rounding of the tables and their sums to single precision.
+        slack = (table.shape[1] + 2) * (np.abs(table).max(2).sum(1, dtype=np.float64) * 2.0**-23 + float(np.finfo(np.float32).tiny))
         for q in range(len(table)):
-            # Rows are in id order and the sort is stable: equal scores go to the smaller id.
-            near = np.flatnonzero(score[q] <= edge[q])
-            near = near[np.argsort(score[q][near], kind="stable")[: keep + 1]]
-            near = near[own[near] != ids[a + q]]
-            far = np.sqrt(((vectors[near].astype(np.float64) - queries[a + q].astype(np.float64)) ** 2).sum(1))
-            best = np.lexsort((own[near], far))[: config.k]
-            out.append(pd.DataFrame({"query_id": ids[a + q], "vec_id": own[near][best], "score": far[best]}))
+            query = queries[a + q].astype(np.float64)
+            least = _least_squares(product[q].astype(np.float64), slack[q], (query**2).sum(), length, along, rest)
+            near, far = _nearest_exact(vectors, own, norm / 2 - product[q], least, ids[a + q], query, config)
+            out.append(pd.DataFrame({"query_id": ids[a + q], "vec_id": own[near], "score": far}))
     yield pd.concat(out)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, vector: str = "embedding", key: str = "vec_id", config: AnnConfig = AnnConfig()) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest rows found for every row of ``queries``."""
+    """query_id, rank, vec_id, score: the ``k`` nearest rows of every row of ``queries``."""
     ship()
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
