@@ -43,6 +43,10 @@ def test_query_equals_oracle(spark, sf, duck, name):
     assert rows_of(got.columns, got.collect()) == rows_of(columns, wanted.fetchall())
 
 
+def test_zone_conversion_covers_every_event(spark, sf, duck):
+    assert lake.queries()["at_time_zone"](spark, sf).count() == duck.execute("SELECT COUNT(*) FROM events").fetchone()[0]
+
+
 def test_parquet_inspection(spark, sf):
     rows = lake.queries()["parquet_inspection"](spark, sf).collect()
     assert {(r.file, r.column_path, r.file_rows) for r in rows} >= {("nation.parquet", "n_name", 25), ("region.parquet", "r_regionkey", 5)}
