@@ -47,6 +47,13 @@ def test_zone_conversion_covers_every_event(spark, sf, duck):
     assert lake.queries()["at_time_zone"](spark, sf).count() == duck.execute("SELECT COUNT(*) FROM events").fetchone()[0]
 
 
+@pytest.mark.parametrize(("name", "table"), [("order_nulls_default", "part"), ("order_multi_key", "customer")])
+def test_sorts_put_the_whole_table_in_order(spark, sf, duck, name, table):
+    got = [[plain(v) for v in r] for r in lake.queries()[name](spark, sf).collect()]
+    assert len(got) == duck.execute(f"SELECT COUNT(*) FROM {table}").fetchone()[0]
+    assert got == [[plain(v) for v in r] for r in duck.execute(lake.oracle_sql()[name]).fetchall()]
+
+
 def test_parquet_inspection(spark, sf):
     rows = lake.queries()["parquet_inspection"](spark, sf).collect()
     assert {(r.file, r.column_path, r.file_rows) for r in rows} >= {("nation.parquet", "n_name", 25), ("region.parquet", "r_regionkey", 5)}

@@ -97,8 +97,8 @@ SAME: dict[str, str] = {
     "first_last_value": "SELECT c_custkey, FIRST_VALUE(c_custkey) OVER w AS first_key, LAST_VALUE(c_custkey) OVER w AS last_key FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
     "window_over_aggregate": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS all_n FROM orders GROUP BY o_orderstatus, o_orderpriority",
     # sort and limit
-    "order_nulls_default": "SELECT p_partkey, NULLIF(p_size, 50) AS size_or_null FROM part ORDER BY NULLIF(p_size, 50) DESC NULLS FIRST, p_partkey NULLS LAST LIMIT 40",
-    "order_multi_key": "SELECT c_custkey, c_mktsegment, c_nationkey FROM customer ORDER BY c_mktsegment NULLS LAST, c_nationkey DESC NULLS FIRST, c_custkey NULLS LAST LIMIT 100",
+    "order_nulls_default": "SELECT p_partkey, NULLIF(p_size, 50) AS size_or_null FROM part ORDER BY NULLIF(p_size, 50) DESC NULLS FIRST, p_partkey NULLS LAST",
+    "order_multi_key": "SELECT c_custkey, c_mktsegment, c_nationkey FROM customer ORDER BY c_mktsegment NULLS LAST, c_nationkey DESC NULLS FIRST, c_custkey NULLS LAST",
     "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey NULLS LAST LIMIT 25",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey NULLS LAST LIMIT 20 OFFSET 35",
     "limit_zero": "SELECT o_orderkey FROM orders LIMIT 0",
