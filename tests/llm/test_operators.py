@@ -244,6 +244,17 @@ def test_url_odd_rows_and_propagation(spark):
     assert judge_urls(pages.limit(0), config=config).count() == 0
 
 
+def test_url_distrust_where_many_hosts_are_blocked(spark):
+    """A third of the hosts is blocked; the only linker of one of them stays suspect."""
+    from tidelake.llm.urlfilter import Rule, UrlFilterConfig, judge_urls
+
+    rows = [(i, f"http://h{i}.bad/", "") for i in range(20)] + [(i, f"http://h{i}.site/", "") for i in range(20, 58)]
+    rows += [(58, "http://lone.site/", '<a href="http://h0.bad/">x</a>'), (59, "http://fine.site/", '<a href="http://h30.site/">x</a>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in judge_urls(pages, config=UrlFilterConfig(rules=(Rule("block", "bad", "/"),))).collect()}
+    assert got == {i: "block" if i < 20 or i == 58 else "allow" for i in range(60)}
+
+
 # ---------------------------------------------------------------- 6 packing
 
 

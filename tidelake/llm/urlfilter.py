@@ -42,6 +42,7 @@ class UrlFilterConfig:
     iterations: int = 20
     #: Iterations between two stored rank tables.
     store_every: int = 4
+    #: Least distrust of a blocked host, as a share of a host's mean mass or of one seed's own mass, whichever is less.
     least_mass: float = 0.5
 
 
@@ -113,6 +114,8 @@ def judge_urls(pages: DataFrame, url: str = "url", html: str = "html", key: str
     free = skew_join(named.where("_rule is null"), scores, ["host"], "left").select(ruled.columns)
     text = F.element_at(F.lit([r.text for r in rules] or [""]), F.col("_rule") + 1)
     said = F.element_at(F.lit([r.verdict for r in rules] or [""]), F.col("_rule") + 1)
-    suspect = (F.col("distrust") > F.coalesce(F.col("trust"), F.lit(0.0))) & (F.col("distrust") * F.lit(float(max(sums["n"], 1))) >= config.least_mass)
+    # With many seeds each is worth less than the mean host, and so is all that one of them can pass on.
+    unit = min(1.0 / max(sums["n"], 1), (1 - config.damping) / max(sums["bad"] or 0, 1))
+    suspect = (F.col("distrust") > F.coalesce(F.col("trust"), F.lit(0.0))) & (F.col("distrust") >= F.lit(config.least_mass * unit))
     verdict = F.when(F.col("_rule").isNotNull(), said).when(suspect, F.lit("block")).otherwise(F.lit("allow"))
     return ruled.unionByName(free).select("page_id", "host", "path", F.when(F.col("_rule").isNotNull(), text).alias("rule"), verdict.alias("verdict"), "trust", "distrust")
