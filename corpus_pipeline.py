@@ -35,8 +35,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that repeat an id (or, without one, a text) are one document."""
-    name = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
+    """Each document as often as the mix takes it. Rows that repeat an id and its text are one document."""
+    name = F.concat(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")), F.lit("t"), F.md5(F.coalesce("text", F.lit(""))))
     keyed = docs.withColumn("_key", name)
     taken = mix(keyed, key="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     taken = as_table(taken.where("_copies > 0"), "stage-copies")

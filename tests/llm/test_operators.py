@@ -192,6 +192,17 @@ def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "6", "7", "None", "None"]
 
 
+def test_near_duplicates_keep_every_text_of_an_id(spark):
+    """One id on several texts, one of them a copy of another id's text."""
+    from tidelake.llm.neardup import drop_near_duplicates
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text[0]) for r in drop_near_duplicates(docs).collect())
+    assert got == [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e")]
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     from tidelake.llm.neardup import dart_signatures
 

@@ -182,12 +182,24 @@ def _missed_links(texts: DataFrame, parts: DataFrame, config: NearDupConfig) ->
     return both.where(jaccard >= F.lit(config.similarity)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """doc_id, class_id (the least id of the class), keep: one row per document."""
+def _content(words: Column) -> Column:
+    return F.md5(F.concat_ws(" ", words))
+
+
+def _classes(docs: DataFrame, text: str, key: str, config: NearDupConfig) -> DataFrame:
+    """doc_id, content, class_id, keep: one row per document, without those that lack an id.
+
+    A document is known by its id or, where some id holds more than one text, by id and text.
+    """
     whole = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     worded = whole.where("doc_id is not null").select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("words"))
-    shingled = worded.select("doc_id", F.md5(F.concat_ws(" ", "words")).alias("content"), shingles_of(F.col("words")).alias("shingles"))
+    shingled = worded.select("doc_id", _content(F.col("words")).alias("content"), shingles_of(F.col("words")).alias("shingles"))
     signed = as_table(with_bands(shingled, config), "dup-bands")
+    texts_of = signed.groupBy("doc_id").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
+    several = not texts_of.where("lo < hi").isEmpty()
+    if several:
+        signed = signed.withColumn("doc_id", F.struct("doc_id", "content"))
+        whole = whole.where("doc_id is not null").withColumn("doc_id", F.struct(F.col("doc_id").cast("long").alias("doc_id"), _content(words_of(F.col("text"))).alias("content")))
     firsts = as_table(signed.groupBy("content").agg(F.min("doc_id").alias("doc_id")), "dup-firsts")
 
     single = signed.join(firsts, ["content", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
@@ -211,19 +223,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
-    named = skew_join(signed.select("doc_id", "content"), firsts.withColumnRenamed("doc_id", "first"), ["content"]).select("doc_id", "first")
-    classed = skew_join(named, labels.withColumnRenamed("node", "first"), ["first"], "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
-    lost = whole.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return classed.unionByName(lost).withColumn("keep", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    named = skew_join(signed.select("doc_id", "content"), firsts.withColumnRenamed("doc_id", "first"), ["content"]).select("doc_id", "content", "first")
+    classed = skew_join(named, labels.withColumnRenamed("node", "first"), ["first"], "left").select("doc_id", "content", F.coalesce("component", "first").alias("class_id"))
+    classed = classed.withColumn("keep", F.col("doc_id") == F.col("class_id"))
+    return classed.withColumns({c: F.col(f"{c}.doc_id") for c in ("doc_id", "class_id")}) if several else classed
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", config: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """doc_id, class_id (the least id of the class), keep: one row per document."""
+    classed = _classes(docs, text, key, config).select("doc_id", "class_id", "keep")
+    none = docs.where(F.col(key).isNull()).select(F.col(key).alias("doc_id"), F.col(key).alias("class_id"), F.lit(True).alias("keep"))
+    return classed.unionByName(none)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """``docs`` with one document of each class; rows that repeat a kept id stay once."""
-    found = as_table(near_duplicates(docs, text, key, config), "dup-classes")
-    dropped = found.where("not keep").select(F.col("doc_id").alias(key)).dropDuplicates([key])
-    repeated = as_table(found.where("keep and doc_id is not null").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), "dup-repeated")
-    kept = docs.join(dropped, key, "left_anti").select(docs.columns)
+    """``docs`` with one document of each class; rows that repeat a kept id and its text stay once."""
+    found = as_table(_classes(docs, text, key, config).withColumnRenamed("doc_id", "_id"), "dup-classes")
+    # Most ids are on one row; only rows of the others, and of what goes, are looked at by text.
+    touched = as_table(found.groupBy(F.col("_id").alias(key)).agg(F.min("keep").alias("keep"), F.count("*").alias("n")).where("n > 1 or not keep"), "dup-touched")
+    kept = docs.join(touched, key, "left_anti").select(docs.columns)
+    repeated = touched.where("n > 1")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return kept.join(repeated, key, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    content = docs.join(repeated, key, "left_semi").withColumn("_content", _content(words_of(F.coalesce(F.col(text), F.lit("")))))
+    stay = found.where("keep").select(F.col("_id").alias(key), F.col("content").alias("_content")).distinct()
+    once = skew_join(content, stay, [key, "_content"]).dropDuplicates([key, "_content"])
+    return kept.unionByName(once.select(docs.columns))
