@@ -54,6 +54,13 @@ def test_sorts_put_the_whole_table_in_order(spark, sf, duck, name, table):
     assert got == [[plain(v) for v in r] for r in duck.execute(lake.oracle_sql()[name]).fetchall()]
 
 
+def test_set_operations_take_whole_columns(spark, sf, duck):
+    nations, sizes, supplied = ({r[0] for r in duck.execute(f"SELECT {c} FROM {t}").fetchall()} for c, t in (("c_nationkey", "customer"), ("p_size", "part"), ("s_nationkey", "supplier")))
+    got = {name: sorted(r.k for r in lake.queries()[name](spark, sf).collect()) for name in ("intersect", "except")}
+    assert got == {"intersect": sorted(nations & sizes), "except": sorted(sizes - supplied)}
+    assert nations - sizes and sizes - nations and sizes & supplied
+
+
 def test_parquet_inspection(spark, sf):
     rows = lake.queries()["parquet_inspection"](spark, sf).collect()
     assert {(r.file, r.column_path, r.file_rows) for r in rows} >= {("nation.parquet", "n_name", 25), ("region.parquet", "r_regionkey", 5)}

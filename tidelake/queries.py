@@ -105,9 +105,9 @@ SAME: dict[str, str] = {
     # set operations
     "union_all": "SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey AS k FROM region",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
-    "intersect": "SELECT c_nationkey AS k FROM customer WHERE c_custkey % 7 = 0 INTERSECT SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0",
+    "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT p_size AS k FROM part",
     "intersect_all": "SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT r_regionkey AS k FROM region",
-    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 0",
+    "except": "SELECT p_size AS k FROM part EXCEPT SELECT s_nationkey AS k FROM supplier",
     "except_all": "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey AS k FROM region",
     # joins
     "self_join_inner": "SELECT a.n_nationkey AS left_key, b.n_nationkey AS right_key FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
