@@ -7,20 +7,29 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 1. Documents of equal words collapse to their least id.
 2. Bands of coordinates are joined: every document of a bucket is paired with
-   the bucket's shortest document, and the pair is checked on the exact shingle
-   sets. Checked pairs form components.
+   the bucket's hub, the document that shares its buckets with most others, and
+   the pair is checked on the exact shingle sets. A group of near copies has one
+   hub in nearly all its buckets, so a document gets few pairs, not one a band.
+   Checked pairs form components.
 3. Where a bucket still spans several components, a link between two of its
    documents may have been missed. Their documents go through an exact prefix
    join on their rarest shingles, which finds every pair at the similarity, and
-   only pairs across components are checked.
+   only pairs across components are checked. What two documents can still share
+   behind a common shingle bounds the partner's size, so of a passage that many
+   documents hold only the few rows that could still make a pair are joined.
+
+Links are Jaccard similarities of shingle sets, so every shingle weighs 1 here;
+``dart_signatures`` takes any positive weights.
 
 Defined results: a null text counts as empty; all empty texts are copies of each
 other; a document with a null id belongs to no class. Repeated rows share a
-class. Ties go to the least id.
+class. Ties go to the least id. Other columns of the input are never looked at,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +47,8 @@ class NearDupConfig:
     similarity: float = SIMILARITY
     bands: int = 30
     rows: int = 6
-    #: Shingles that are signed in one go.
-    chunk: int = 60_000
+    #: Darts that are thrown in one go, about: a set takes its size and some ``coordinates * ln(coordinates)``.
+    chunk: int = 500_000
 
     @property
     def coordinates(self) -> int:
@@ -107,14 +116,14 @@ def dart_signatures(sets: np.ndarray, elements: np.ndarray, weights: np.ndarray,
 
 
 def band_keys(batch: list[np.ndarray], config: NearDupConfig) -> list[np.ndarray]:
-    """The 64-bit band keys of each set of shingle hashes; every shingle has weight 1."""
+    """The 64-bit band keys of each set of distinct shingle hashes (int64); every shingle has weight 1."""
     keys: list[np.ndarray] = []
-    at = 0
+    at, darts = 0, int(config.coordinates * (np.log(config.coordinates) + 2))
     while at < len(batch):
         own, size = [], 0
-        while at < len(batch) and (not own or size + len(batch[at]) <= config.chunk):
-            own.append(np.unique(np.asarray(batch[at], np.int64)).view(np.uint64))
-            size += len(batch[at])
+        while at < len(batch) and (not own or size + len(batch[at]) + darts <= config.chunk):
+            own.append(batch[at].view(np.uint64))
+            size += len(batch[at]) + darts
             at += 1
         sets = np.repeat(np.arange(len(own)), [len(x) for x in own])
         rows = dart_signatures(sets, np.concatenate(own), np.ones(len(sets)), len(own), config.coordinates).reshape(-1, config.bands, config.rows)
@@ -126,13 +135,14 @@ def band_keys(batch: list[np.ndarray], config: NearDupConfig) -> list[np.ndarray
 
 
 def with_bands(shingled: DataFrame, config: NearDupConfig) -> DataFrame:
-    """(doc_id, content, size, bands) of (doc_id, content, shingles)."""
+    """(doc_id, content, size, bands) of (doc_id, content, shingles); ``size`` counts distinct shingles."""
     ship()
 
     def sign(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "content": batch["content"], "size": [len(x) for x in batch["shingles"]], "bands": band_keys(list(batch["shingles"]), config)})
+                sets = [np.unique(np.asarray(x, np.int64)) for x in batch["shingles"]]
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "content": batch["content"], "size": [len(x) for x in sets], "bands": band_keys(sets, config)})
 
     return shingled.mapInPandas(sign, "doc_id long, content string, size int, bands array<bigint>")
 
@@ -156,30 +166,37 @@ def _missed_links(texts: DataFrame, parts: DataFrame, config: NearDupConfig) ->
     """Links (a, b) across components, by an exact join on the rarest shingles.
 
     A document of n shingles must share one of its n - ceil(s n) + 1 rarest with
-    any partner at similarity s or more, and the first one that they share must
-    leave enough behind it for the overlap that s asks for. The sets are made once per document, as
-    a document can be in many pairs here.
+    any partner at similarity s or more. At the first one that they share, of
+    rank r, at most n - r + 1 are left to be shared, which bounds the partner's
+    size (``most``). The shorter document of a pair (by size, then id) is the
+    left side of the join, and only rows that admit a partner of their own size
+    can be that. Partners are at most 1 / s times as long, so they lie in the same class of sizes
+    or the next. The sets are made once per document, as a document can be in
+    many pairs here.
     """
+    similar = config.similarity
     sets = skew_join(texts, parts, ["doc_id"]).select("doc_id", "component", F.array_distinct(shingle_hashes(F.col("text"))).alias("set"))
     sets = as_table(sets, "dup-sets")
     rows = sets.select("doc_id", "component", F.size("set").alias("n"), F.explode("set").alias("shingle"))
     counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     order = Window.partitionBy("doc_id").orderBy(F.coalesce("df", F.lit(1)), "shingle")
     ranked = skew_join(rows, counts, ["shingle"], "left").withColumn("r", F.row_number().over(order))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * config.similarity - 1e-9) + 1).where("df > 1")
-    prefix = as_table(prefix.select("doc_id", "component", "n", "r", "shingle"), "dup-prefixes")
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1).where("df > 1")
+    most = (F.col("n") - F.col("r") + 1) * F.lit((1 + similar) / similar) - F.col("n") + F.lit(1e-6)
+    band = F.floor(F.log(F.col("n").cast("double")) * F.lit(0.999 / -math.log(similar))).cast("int")
+    prefix = as_table(prefix.select("doc_id", "component", "n", "shingle", most.alias("most"), band.alias("band")), "dup-prefixes")
     mixed = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     open_rows = as_table(skew_join(prefix, mixed, ["shingle"]), "dup-open")
-    a, b = (open_rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n", "r")]) for s in "ab")
-    # At a pair's first common shingle, what follows it in both bounds their overlap.
-    reach = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) + 1
-    enough = reach >= (F.col("n_a") + F.col("n_b")) * (config.similarity / (1 + config.similarity)) - 1e-6
-    pairs = a.join(b, "shingle").where("component_a < component_b").where(enough)
+    a, b = (open_rows.select("shingle", "band", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "component", "n", "most")]) for s in "ab")
+    a = a.where("most_a >= n_a").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
+    open_pair = shorter & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")) & (F.col("component_a") != F.col("component_b"))
+    pairs = skew_join(a, b, ["shingle", "band"]).where(open_pair)
     pairs = pairs.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     first = skew_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), ["a"])
     both = skew_join(first, sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), ["b"])
     jaccard = bind(F.size(F.array_intersect("set_a", "set_b")), lambda n: n / (F.size("set_a") + F.size("set_b") - n))
-    return both.where(jaccard >= F.lit(config.similarity)).select("a", "b")
+    return both.where(jaccard >= F.lit(similar)).select("a", "b")
 
 
 def _content(words: Column) -> Column:
@@ -204,17 +221,19 @@ def _classes(docs: DataFrame, text: str, key: str, config: NearDupConfig) -> Dat
 
     single = signed.join(firsts, ["content", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     banded = single.select("doc_id", "size", F.explode("bands").alias("band"))
-    # The shortest document of a bucket is likest to the others where they share a passage.
-    centres = banded.groupBy("band").agg(F.min(F.struct("size", "doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").select("band", F.col("first.doc_id").alias("centre"))
-    shared = as_table(skew_join(banded.select("doc_id", "band"), centres, ["band"]), "dup-buckets")
-    involved = shared.groupBy("doc_id").agg(F.lit(1).alias("one")).select("doc_id")
-    texts = as_table(whole.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "dup-texts")
-
-    pairs = shared.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    filled = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = as_table(skew_join(banded, filled, ["band"]), "dup-buckets")
+    company = shared.groupBy("doc_id").agg((-F.sum("n")).alias("rank"))
+    hubs = skew_join(shared, company, ["doc_id"]).groupBy("band").agg(F.min(F.struct("rank", "size", "doc_id")).alias("hub"))
+    texts = as_table(skew_join(whole, company.select("doc_id"), ["doc_id"]).dropDuplicates(["doc_id"]), "dup-texts")
+
+    met = skew_join(shared, hubs, ["band"]).where("doc_id <> hub.doc_id")
+    alike = F.least("size", "hub.size") >= F.greatest("size", "hub.size") * F.lit(config.similarity) - F.lit(1e-9)
+    pairs = met.where(alike).groupBy(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     links = as_table(verified(pairs, texts, config), "dup-links")
     labels = components(links)
 
-    parts = skew_join(shared, labels.withColumnRenamed("node", "doc_id"), ["doc_id"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    parts = skew_join(shared.select("band", "doc_id"), labels.withColumnRenamed("node", "doc_id"), ["doc_id"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     parts = as_table(parts, "dup-parts")
     mixed = parts.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     doubt = as_table(skew_join(parts, mixed, ["band"]).groupBy("doc_id", "component").agg(F.lit(1).alias("one")).select("doc_id", "component"), "dup-doubt")
