@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -102,6 +103,26 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return a.join(b, [*keys, extra], how).drop(extra)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """The row as one struct, so that working columns can't clash with the input's names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def starts(counts: DataFrame, within: list[str], group: str, first: str, order: tuple[Column, ...] = (), block: int = 1000) -> DataFrame:
+    """``counts`` (keys, ``group``, n) with ``first``: the rows in groups before each one.
+
+    Groups of one ``within[0]`` are ordered by ``order`` (the other keys), then by their number.
+    Groups are summed in blocks first, so that one task orders blocks, not groups.
+    """
+    blocked = counts.withColumn("_block", F.floor(F.col(group) / F.lit(block)))
+    before = Window.partitionBy(*within, "_block").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    inner = blocked.withColumn("_inner", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sums = blocked.groupBy(*within, "_block").agg(F.sum("n").alias("_sum"))
+    ahead = Window.partitionBy(within[0]).orderBy(*order, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    outer = sums.select(*within, "_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_outer"))
+    return inner.join(outer, [*within, "_block"]).withColumn(first, F.col("_outer") + F.col("_inner")).drop("_block", "_inner", "_outer")
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))

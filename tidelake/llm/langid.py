@@ -1,7 +1,9 @@
 """Language identification by error-correcting output codes.
 
 Every language gets a codeword; one binary n-gram classifier predicts each bit
-of it; decoding weighs each bit's loss and takes the nearest codeword.
+of it; decoding weighs each bit's loss and takes the nearest codeword. A text
+whose bits differ from that codeword in more places than the code corrects is
+rejected: it looks like none of the languages.
 
 Defined results: a null text, an empty one or one without any letter is
 ``und`` with score 0. Repeated rows get equal answers. Without labelled rows
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from tidelake.llm.common import hash_share, ship
 
 UNDETERMINED = "und"
-RESULT = "lang string, score double, ambiguous boolean, margin double"
+RESULT = "lang string, score double, ambiguous boolean, margin double, rejected boolean"
 
 
 @dataclass(frozen=True)
@@ -123,24 +125,33 @@ class LanguageModel:
         p = np.exp(-(loss - loss.min()) * self.code.shape[1])
         return p / p.sum(), loss
 
-    def predict(self, text: str | None) -> tuple[str, float, bool, float]:
+    @property
+    def radius(self) -> int:
+        """Wrong bits that the code corrects: less than half the least distance of two codewords."""
+        differ = (self.code[:, None, :] != self.code[None, :, :]).sum(2)
+        return (int(differ[~np.eye(len(differ), dtype=bool)].min()) - 1) // 2
+
+    def predict(self, text: str | None) -> tuple[str, float, bool, float, bool]:
+        """Language, score, ambiguous, margin, and rejected: no letter, or more wrong bits than the code corrects."""
         if not self.languages or not has_letter(text):
-            return UNDETERMINED, 0.0, False, 0.0
+            return UNDETERMINED, 0.0, False, 0.0, True
         if len(self.languages) == 1:
-            return self.languages[0], 1.0, False, 1.0
-        p, loss = self.posterior(self.margins(text))
+            return self.languages[0], 1.0, False, 1.0, False
+        margins = self.margins(text)
+        p, loss = self.posterior(margins)
         first, second = np.argsort(loss, kind="stable")[:2]
         gap = float((loss[second] - loss[first]) / max(loss[second], 1e-9))
-        return self.languages[first], float(p[first]), gap < self.config.ambiguous_below, gap
+        wrong = int((margins * self.code[first] < 0).sum())
+        return self.languages[first], float(p[first]), gap < self.config.ambiguous_below, gap, wrong > self.radius
 
     def column(self, text: Column) -> Column:
-        """struct<lang, score, ambiguous, margin> of a text column."""
+        """struct<lang, score, ambiguous, margin, rejected> of a text column."""
         model = self
         ship()
 
         @F.pandas_udf(RESULT)
         def identify(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score", "ambiguous", "margin"])
+            return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score", "ambiguous", "margin", "rejected"])
 
         return identify(text)
 

@@ -8,11 +8,12 @@ source's size distribution and the words taken come near the target.
 
 The running sum is distributed: documents are numbered within groups of one
 source, one size class and one salt, and the groups' first numbers come from a
-running sum over their counts. Big groups get more salts.
+running sum over their counts, blocks of groups first. Big groups get more salts.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; sources without words get target 0. Documents without words are
-never part of a mix. Repeated rows are sampled one by one.
+never part of a mix. Repeated rows are sampled one by one. An empty table gives
+an empty mix. Only the three named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import WORD, as_table, skew_join
+from tidelake.llm.common import WORD, as_table, skew_join, starts
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class MixConfig:
     share: float = 1.5
     most: float = 2.0
     #: Documents of one source and size class that are numbered together.
-    group_rows: int = 1000
+    group_rows: int = 250
 
 
 def source_targets(sizes: DataFrame, config: MixConfig) -> DataFrame:
@@ -71,16 +72,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     share = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long")
     salted = skew_join(rows, classes, ["source_key", "class"]).withColumn("salt", F.pmod(share, F.col("salts")).cast("int")).drop("salts")
     salted = as_table(salted, "mix-salted")
-    before = Window.partitionBy("source_key").orderBy(F.col("class").desc(), "salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("source_key", "class", "salt").agg(F.count("*").alias("n"))
-    counts = counts.select("source_key", "class", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    counts = starts(counts, ["source_key", "class"], "salt", "first", (F.col("class").desc(),))
     offset = F.conv(F.substring(F.md5("source_key"), 1, 3), 16, 10).cast("double") / 4096
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    starts = counts.join(sources, "source_key").select("source_key", "class", "salt", "first", "source_size", "target", ratio.alias("ratio"), offset.alias("offset"))
+    firsts = counts.join(sources, "source_key").select("source_key", "class", "salt", "first", "source_size", "target", ratio.alias("ratio"), offset.alias("offset"))
 
     within = Window.partitionBy("source_key", "class", "salt").orderBy(F.col("size").desc(), "doc_id")
     numbered = salted.withColumn("n", F.row_number().over(within))
-    placed = skew_join(numbered, starts, ["source_key", "class", "salt"]).withColumn("rank", F.col("first") + F.col("n"))
+    placed = skew_join(numbered, firsts, ["source_key", "class", "salt"]).withColumn("rank", F.col("first") + F.col("n"))
     crossed = F.floor(F.col("offset") + F.col("rank") * F.col("ratio")) - F.floor(F.col("offset") + (F.col("rank") - 1) * F.col("ratio"))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(crossed).cast("long")
     return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import SIMILARITY, as_table, bind, shingle_hashes, shingles_of, ship, skew_join, words_of
+from tidelake.llm.common import SIMILARITY, as_table, bind, shingle_hashes, shingles_of, ship, skew_join, whole_row, words_of
 from tidelake.llm.components import components
 
 
@@ -264,7 +264,8 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     repeated = touched.where("n > 1")
     if repeated.isEmpty():
         return kept
-    content = docs.join(repeated, key, "left_semi").withColumn("_content", _content(words_of(F.coalesce(F.col(text), F.lit("")))))
-    stay = found.where("keep").select(F.col("_id").alias(key), F.col("content").alias("_content")).distinct()
-    once = skew_join(content, stay, [key, "_content"]).dropDuplicates([key, "_content"])
-    return kept.unionByName(once.select(docs.columns))
+    rows = docs.join(repeated, key, "left_semi")
+    content = rows.select(F.col(key).alias("id"), _content(words_of(F.coalesce(F.col(text), F.lit("")))).alias("content"), whole_row(docs).alias("row"))
+    stay = found.where("keep").select(F.col("_id").alias("id"), "content").distinct()
+    once = skew_join(content, stay, ["id", "content"]).dropDuplicates(["id", "content"])
+    return kept.unionByName(once.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import as_table, ship, skew_join
+from tidelake.llm.common import as_table, ship, skew_join, starts
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ class PackingConfig:
     #: Share of every length that the linear program places; the rest stays for best fit to top up with.
     solved_share: float = 0.9
     #: Pieces of one length that are numbered together.
-    group_rows: int = 2000
+    group_rows: int = 250
     #: Different words whose tokens a worker remembers.
     cached_words: int = 400_000
 
@@ -295,12 +295,10 @@ def pack_pieces(pieces: DataFrame, config: PackingConfig = PackingConfig()) -> D
     full = pieces.where(F.col("length") == config.capacity).select("*", (F.monotonically_increasing_id() + F.lit(sequences)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     groups = F.create_map(*[x for k, n in sorted(short.items()) for x in (F.lit(k).cast("long"), F.lit(-(-n // config.group_rows)).cast("long"))]) if short else F.create_map(F.lit(0).cast("long"), F.lit(1).cast("long"))
     salted = pieces.where(F.col("length") < config.capacity).withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(groups, F.col("length"))))
-    before = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = salted.groupBy("length", "_g").agg(F.count("*").alias("_n"))
-    starts = as_table(sizes.select("length", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "pack-starts")
+    firsts = as_table(starts(salted.groupBy("length", "_g").agg(F.count("*").alias("n")), ["length"], "_g", "_start").drop("n"), "pack-starts")
     in_group = Window.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_r", F.row_number().over(in_group).cast("long") - 1)
-    ranked = skew_join(ranked, starts, ["length", "_g"]).withColumn("_rank", F.col("_r") + F.col("_start"))
+    ranked = skew_join(ranked, firsts, ["length", "_g"]).withColumn("_rank", F.col("_r") + F.col("_start"))
     # ``places`` follows from the histogram: its size is bound by the capacity, not by the corpus.
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("s_length")) & (F.col("_rank") >= F.col("s_from")) & (F.col("_rank") < F.col("s_to")))
     placed = placed.withColumn("sequence_id", F.col("s_sequence") + F.col("_rank") - F.col("s_from")).withColumn("offset", F.col("s_offset"))

@@ -1,14 +1,17 @@
 """Secret scanning with corpus-wide ownership, in SQL functions only.
 
 Patterns find candidates in every whole text. The candidates' hashes are then
-counted over the corpus: a value that many owners hold is a widely copied
-example, a value of one or two owners looks like a live credential. Bare
+counted over the corpus: a value that many owners hold, or many repositories of
+one, is a widely copied example; a value in few repositories of one or two
+owners looks like a live credential. Bare
 high-entropy strings, which no pattern names, are reported only where their
 ownership is that narrow.
 
 Defined results: a null text counts as empty and has no spans; a null source is
 an owner of its own; rows that repeat an id and text share their findings and
-count once. Positions are code points, the end exclusive.
+count once. An empty table has no findings. Positions are code points, the end
+exclusive. ``find_secrets`` reads the three named columns only; ``redact`` keeps
+all others as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import as_table, bind, skew_join
+from tidelake.llm.common import as_table, bind, skew_join, whole_row
 
 KINDS = ("assign", "access", "hex", "generic")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,8 +36,9 @@ SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 @dataclass(frozen=True)
 class SecretConfig:
     assigned_chars: int = 8
-    #: A value that more owners hold is a copied example.
+    #: A value that more owners hold, or more repositories for each owner, is a copied example.
     live_owners: int = 2
+    owner_repositories: int = 10
     #: A live-looking value has this many different characters.
     distinct_chars: int = 6
     mask: str = "[SECRET]"
@@ -95,26 +99,35 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
+def _scanned(docs: DataFrame, text: str, owner: str, key: str, config: SecretConfig, *more: Column) -> DataFrame:
+    """The candidates of every document, found once and stored: doc_id, id, hash, owner, found and ``more``."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    ident, name = F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), F.col(owner)), F.lit("n"))
+    rows = docs.select(F.col(key).alias("doc_id"), ident.alias("id"), F.xxhash64(whole).alias("hash"), name.alias("owner"), candidate_spans(whole, config).alias("found"), *more)
+    return as_table(rows.withColumn("has", F.size("found") > 0), "secret-candidates")
+
+
+def _judged(scanned: DataFrame, config: SecretConfig) -> DataFrame:
+    """id, hash and the spans that stand, of every document that has any: ownership is counted over all documents."""
+    each = scanned.where("has").select("id", "hash", "owner", F.explode("found").alias("f"))
+    each = each.select("id", "hash", "owner", F.md5("f.value").alias("value"), "f.kind", "f.start", "f.end", F.size(F.array_distinct(F.split("f.value", ""))).alias("chars"))
+    known = ownership(each.select(F.col("value").alias("hash"), "owner", F.concat_ws(":", "id", "hash").alias("repository"))).withColumnRenamed("hash", "value")
+    live = (F.col("owners") <= config.live_owners) & (F.col("repositories") <= F.col("owners") * config.owner_repositories) & (F.col("chars") >= config.distinct_chars)
+    judged = skew_join(each, known, ["value"]).withColumn("live", live).where(F.col("live") | (F.col("kind") < 3))
+    return judged.groupBy("id", "hash").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end", "live", "repositories", "owners"))).alias("spans"))
+
+
 def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", key: str = "doc_id", config: SecretConfig = SecretConfig()) -> DataFrame:
     """One row per document: doc_id, text_hash and ``spans`` (kind, start, end, live, repositories, owners) by start and kind.
 
     A document is a repository here, its source the owner. Bare strings are
     among the spans only where they look live.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    scanned = docs.select(F.col(key).alias("doc_id"), F.col(owner).alias("owner"), F.xxhash64(whole).alias("text_hash"), candidate_spans(whole, config).alias("found"))
-    scanned = as_table(scanned, "secret-candidates")
-    place = ["_id", "text_hash"]
-    keyed = scanned.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    each = keyed.where(F.size("found") > 0).select(*place, F.coalesce(F.concat(F.lit("s"), F.col("owner")), F.lit("n")).alias("owner"), F.explode("found").alias("f"))
-    each = each.select(*place, "owner", F.md5("f.value").alias("hash"), "f.kind", "f.start", "f.end", F.size(F.array_distinct(F.split("f.value", ""))).alias("chars"))
-    known = ownership(each.select("hash", "owner", F.concat_ws(":", *place).alias("repository")))
-    judged = skew_join(each, known, ["hash"])
-    live = (F.col("owners") <= config.live_owners) & (F.col("chars") >= config.distinct_chars)
-    judged = judged.withColumn("live", live).where(F.col("live") | (F.col("kind") < 3))
-    spans = judged.groupBy(*place).agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end", "live", "repositories", "owners"))).alias("spans"))
+    scanned = _scanned(docs, text, owner, key, config)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,repositories:bigint,owners:bigint>>")
-    return keyed.drop("found", "owner").join(spans, place, "left").select("doc_id", "text_hash", F.coalesce("spans", none).alias("spans"))
+    bare = scanned.where("not has").select("doc_id", F.col("hash").alias("text_hash"), none.alias("spans"))
+    held = scanned.where("has").select("doc_id", "id", "hash").join(_judged(scanned, config), ["id", "hash"], "left")
+    return bare.unionByName(held.select("doc_id", F.col("hash").alias("text_hash"), F.coalesce("spans", none).alias("spans")))
 
 
 def span_text(spans: Column) -> Column:
@@ -126,24 +139,30 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", key: str = "doc_id", config: SecretConfig = SecretConfig()) -> DataFrame:
     """``docs`` with live-looking secrets masked and ``n_chars`` (where present) recounted.
 
-    Only documents with a live span are joined with their findings.
+    Rows travel as one struct beside their candidates, so every text is scanned
+    once, and only rows with candidates are joined with the verdicts.
     """
-    found = find_secrets(docs, text, owner, key, config)
-    live = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"), F.filter("spans", lambda s: s["live"]).alias("_live"))
-    live = as_table(live.where(F.size("_live") > 0).dropDuplicates(["_id", "_hash"]), "secret-live")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    marked = docs.withColumn("_found", F.size(candidate_spans(whole, config)) > 0)
-    clean = marked.where(~F.col("_found")).drop("_found")
-    held = marked.where("_found").withColumn("_id", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64(whole))
-    joined = held.join(live, ["_id", "_hash"], "left")
+    scanned = _scanned(docs, text, owner, key, config, whole_row(docs).alias("row"))
+    live = _judged(scanned, config).select("id", "hash", F.filter("spans", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
+    held = scanned.where("has").select("id", "hash", "row").join(live, ["id", "hash"], "left")
+    written = F.col("row")[text]
 
     def cut(at: Column, s: Column) -> Column:
-        piece = F.concat(at["out"], F.substring(F.col(text), at["pos"] + 1, s["start"] - at["pos"]), F.lit(config.mask))
+        piece = F.concat(at["out"], F.substring(written, at["pos"] + 1, s["start"] - at["pos"]), F.lit(config.mask))
         inside = s["start"] < at["pos"]
         return F.struct(F.greatest(at["pos"], s["end"]).alias("pos"), F.when(inside, at["out"]).otherwise(piece).alias("out"))
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    masked = bind(F.aggregate(F.col("_live"), start, cut), lambda a: F.concat(a["out"], F.substring(F.col(text), a["pos"] + 1, F.length(F.col(text)))))
-    joined = joined.withColumn(text, F.when(F.col("_live").isNull(), F.col(text)).otherwise(masked))
-    out = clean.unionByName(joined.select(docs.columns))
-    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    masked = bind(F.aggregate(F.col("live"), start, cut), lambda a: F.concat(a["out"], F.substring(written, a["pos"] + 1, F.length(written))))
+    value = F.when(F.col("live").isNull(), written).otherwise(masked)
+
+    def column(name: str) -> Column:
+        kind = docs.schema[name].dataType
+        new = value if name == text else F.length(value).cast(kind) if name == "n_chars" else F.col("row")[name]
+        return new.alias(name)
+
+    def untouched(name: str) -> Column:
+        return (F.length(written).cast(docs.schema[name].dataType) if name == "n_chars" else F.col("row")[name]).alias(name)
+
+    clean = scanned.where("not has").select(*[untouched(c) for c in docs.columns])
+    return clean.unionByName(held.select(*[column(c) for c in docs.columns]))
