@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 
 from tidelake.llm import queries as q
 
@@ -74,6 +75,15 @@ def test_toxicity_held_out(spark, tables):
     assert auc > 0.85
     text = "Äpfel " * 2000
     assert b"".join(windows(text, 256)) == text.lower().encode() and max(map(len, windows(text, 256))) <= 256
+    for t in [*test.text.head(20), text, "", None]:  # by one-shot compression with the model's dictionaries
+        saved = []
+        for w in windows(t, model.config.window):
+            sizes = []
+            for pair in model.pairs:
+                books = [zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for b in pair]
+                sizes.append([len(zstandard.ZstdCompressor(level=model.config.level, dict_data=b, write_content_size=False, write_dict_id=False).compress(w)) for b in books])
+            saved.append(np.mean([plain - toxic for plain, toxic in sizes]))
+        assert np.abs(model.savings(t) - saved).max() <= 3 and model.score(t) == 1 / (1 + np.exp(-np.clip(model.features(t) @ model.coefficients, -35, 35)))
     assert model.score(None) == model.score("")
 
 

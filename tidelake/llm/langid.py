@@ -8,6 +8,8 @@ rejected: it looks like none of the languages.
 Defined results: a null text, an empty one or one without any letter is
 ``und`` with score 0. Repeated rows get equal answers. Without labelled rows
 every text is ``und``. With one language only, every text with a letter gets it.
+An empty table gives an empty result. Only the named columns are read, so others
+may have any name.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ RESULT = "lang string, score double, ambiguous boolean, margin double, rejected
 class LangIdConfig:
     #: Bound of the labelled sample that is fitted on the driver, over all languages.
     max_docs: int = 4000
-    #: Languages that a model may hold; more raise an error.
-    max_languages: int = 500
     #: Hashed bins of byte 2- and 3-grams.
     bins: int = 1 << 15
     smoothing: float = 0.5
@@ -160,21 +160,21 @@ def fit_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", k
     """Fit on a sample of ``labelled`` that is fixed by the key's hash.
 
     The sample holds about ``max_docs`` rows, an equal share of each language;
-    languages with fewer rows give all they have.
+    languages with fewer rows give all they have. Rows that repeat another count once.
     """
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and k is not null")
-    sizes = rows.groupBy("l").count().limit(config.max_languages + 1).collect()
-    if len(sizes) > config.max_languages:
-        raise ValueError(f"more than {config.max_languages} languages")
+    sizes = rows.groupBy("l").count().collect()  # a row per language
     if not sizes:
         return LanguageModel.fit([], [], config)
     each = config.max_docs / len(sizes)
     shares = F.create_map(*[x for r in sizes for x in (F.lit(r["l"]), F.lit(min(1.0, each / r["count"])))])
     chosen = rows.where(hash_share(F.col("k"), "langid") < shares[F.col("l")])
-    sample = chosen.limit(2 * config.max_docs).toPandas().sort_values(["k", "l", "t"])
+    sample = chosen.dropDuplicates(["k", "l", "t"]).toPandas().sort_values(["k", "l", "t"])
     return LanguageModel.fit(sample["t"].tolist(), sample["l"].tolist(), config)
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_langid``; an existing one is replaced."""
-    return docs.withColumn("_langid", model.column(F.col(text)))
+def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text", name: str = "_langid") -> DataFrame:
+    """``docs`` with a struct column ``name``, which must be new."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"a column {name} is there already")
+    return docs.withColumn(name, model.column(F.col(text)))

@@ -1,21 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled text. Both end in the same
-ordinary-text dictionary; before it the toxic one holds the vocabulary that
-marks toxic text, the ordinary one the same number of neutral bytes, so that
-only toxic vocabulary makes their compressed lengths differ. A text is cut into
-windows at word gaps, every window is compressed with both, and the windows'
-savings feed a calibrated threshold model.
+Separate zstandard dictionaries are trained on the windows of toxic and of
+ordinary text. Behind either, a compressor holds one base dictionary trained on
+other ordinary texts, so that common text compresses alike with both and only
+what the two trained dictionaries differ in shows. What a pair of dictionaries
+happens to hold of common text is noise: ``pairs`` of them are trained on
+different shares of the texts, and their savings averaged. A text is cut into
+windows at word gaps; the bytes that the toxic dictionaries save over the
+ordinary ones, window by window, feed a calibrated threshold model.
+
+The calibration is cross-fitted: savings of a labelled text come from
+dictionaries that other texts trained, and the model that scores has
+dictionaries of all of them. Short segments (``segment``) keep a dictionary from
+filling up with the words around the telling ones.
 
 Defined results: a null or empty text is one empty window, whose score is that
-of no savings. Without toxic labels every score is 0. Labels that are null or
-have no document are ignored; a document with two labels counts as toxic if any
-says so.
+of no savings. Without toxic or without ordinary labels every score is 0.
+Labels that are null or have no document are ignored; a document with two
+labels counts as toxic if any says so; of an id with several texts one is
+learned from, the least by hash. Repeated rows get equal scores. Only the named
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,24 +32,27 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import hash_share, ship
+from tidelake.llm.common import ship
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    #: Bounds of the labelled sample that is fitted on the driver.
+    #: Bounds of the labelled sample that is fitted on the driver: the least ids by hash, for either label.
     max_toxic: int = 1500
     max_ordinary: int = 3000
-    window: int = 256
+    #: Bytes of a window that is scored, and of one that dictionaries are trained on.
+    window: int = 128
+    trained_window: int = 256
     level: int = 9
-    ordinary_bytes: int = 98304
-    toxic_bytes: int = 8192
-    gram: int = 5
-    #: A marker gram is seen beside this many different words and in this share of toxic documents.
-    min_contexts: int = 8
-    min_share: float = 0.02
-    min_log_odds: float = 1.0
-    max_training_windows: int = 20000
+    base_bytes: int = 98304
+    class_bytes: int = 8192
+    #: Length of the segments that a class's dictionary is made of, and of the strings that they are chosen by.
+    segment: int = 16
+    gram: int = 8
+    pairs: int = 3
+    folds: int = 3
+    #: Share of the ordinary texts that trains the base dictionary.
+    base_share: float = 2 / 3
 
 
 def windows(text: str | None, width: int) -> list[bytes]:
@@ -57,100 +68,83 @@ def windows(text: str | None, width: int) -> list[bytes]:
     return out or [b""]
 
 
-def _grams(word: str, size: int) -> set[str]:
-    word = " " + word
-    return {word[i : i + size] for i in range(max(1, len(word) - size + 1))}
-
-
-def _contexts(texts: list[str]) -> Counter:
-    """Of each word: the number of different words that it follows. Copies of a text add nothing."""
-    seen: set[int] = set()
-    found: Counter = Counter()
-    for text in texts:
-        before = ""
-        for word in text.lower().split():
-            pair = hash((before, word))
-            if pair not in seen:
-                seen.add(pair)
-                found[word] += 1
-            before = word
-    return found
-
-
-def marker_words(toxic: list[str], ordinary: list[str], config: ToxicityConfig) -> list[str]:
-    """Words with character n-grams that belong to toxic text, rarest first."""
-    counts = []
-    for words in (_contexts(toxic), _contexts(ordinary)):
-        grams: Counter = Counter()
-        for word, n in words.items():
-            for g in _grams(word, config.gram):
-                grams[g] += n
-        counts.append((words, grams, max(sum(words.values()), 1)))
-    (t_words, t, t_all), (_, o, o_all) = counts
-    least = min(max(config.min_contexts, config.min_share * len(toxic)), max(3.0, 0.25 * len(toxic)))
-    marks = {
-        g
-        for g, n in t.items()
-        if n >= least and np.log((n + 0.5) / t_all) - np.log((o[g] + 0.5) / o_all) - 2 * np.sqrt(1 / n + 1 / (o[g] + 0.5)) >= config.min_log_odds
-    }
-    found = [(n, w) for w, n in t_words.items() if n > 1 and not marks.isdisjoint(_grams(w, config.gram))]
-    return [w for _, w in sorted(found)]
-
-
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, **how) -> bytes:
     """A dictionary of ``size`` bytes at most; too few samples are taken as they are."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
+def _cut(texts: list[str], width: int) -> list[bytes]:
+    return [w for t in texts for w in windows(t, width)]
+
+
+def _dictionaries(toxic: list[str], plain: list[str], base: bytes, config: ToxicityConfig) -> list[tuple[bytes, bytes]]:
+    """(ordinary, toxic) dictionary contents, the base at the end of each; every pair leaves out another share of the texts."""
+
+    def share(texts: list[str], j: int) -> list[str]:
+        return [t for i, t in enumerate(texts) if i % config.pairs != j] or texts
+
+    def own(texts: list[str], j: int) -> bytes:
+        return _trained(_cut(share(texts, j), config.trained_window), config.class_bytes, k=config.segment, d=config.gram)
+
+    return [(own(plain, j) + base, own(toxic, j) + base) for j in range(config.pairs)]
+
+
 class ToxicityModel:
-    def __init__(self, ordinary: bytes, toxic: bytes, coefficients: np.ndarray | None, config: ToxicityConfig):
-        self.ordinary, self.toxic, self.coefficients, self.config = ordinary, toxic, coefficients, config
-        self._pair = None
+    def __init__(self, pairs: list[tuple[bytes, bytes]], coefficients: np.ndarray | None, config: ToxicityConfig):
+        self.pairs, self.coefficients, self.config = pairs, coefficients, config
+        self._made = None
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "coefficients": self.coefficients, "config": self.config, "_pair": None}
+        return {"pairs": self.pairs, "coefficients": self.coefficients, "config": self.config, "_made": None}
 
     @staticmethod
     def fit(texts: list[str], labels: list[int], weights: list[float], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
         toxic = list(dict.fromkeys(t for t, y in zip(texts, labels) if y))
-        plain = list(dict.fromkeys(t for t, y in zip(texts, labels) if not y))
+        plain = [t for t in dict.fromkeys(t for t, y in zip(texts, labels) if not y) if t not in set(toxic)]
         if not toxic or not plain:
-            return ToxicityModel(b"", b"", None, config)
-        rng = np.random.RandomState(11)
-        pieces = [w for t in plain for w in windows(t, config.window)]
-        if len(pieces) > config.max_training_windows:
-            pieces = [pieces[i] for i in rng.choice(len(pieces), config.max_training_windows, False)]
-        base = _trained(pieces, config.ordinary_bytes)
-        marks = (" " + " ".join(marker_words(toxic, plain, config)) + " ").encode()[-config.toxic_bytes :]
-        if len(marks) < 8:
-            marks = _trained([w for t in toxic for w in windows(t, config.window)], config.toxic_bytes)
-        model = ToxicityModel(rng.bytes(len(marks)) + base, marks + base, None, config)
-        x = np.array([model.features(t) for t in texts])
-        model.coefficients = _logistic(x, np.array(labels, float), np.array(weights, float))
-        return model
+            return ToxicityModel([], None, config)
+        weight = dict(zip(texts, weights))
+        most = int(len(plain) * config.base_share)
+        base = _trained(_cut(plain[:most], config.trained_window), config.base_bytes)
+        plain = plain[most:]
+        folds = max(1, min(config.folds, len(toxic), len(plain)))
+        x, y, w = [], [], []
+        for fold in range(folds):
+            others = [[t for i, t in enumerate(own) if folds == 1 or i % folds != fold] for own in (toxic, plain)]
+            model = ToxicityModel(_dictionaries(*others, base, config), None, config)
+            for label, own in ((1, toxic), (0, plain)):
+                for t in own[fold::folds]:
+                    x.append(model.features(t))
+                    y.append(label)
+                    w.append(weight[t] / (1 if label else 1 - config.base_share))
+        coefficients = _logistic(np.array(x), np.array(y, float), np.array(w, float))
+        return ToxicityModel(_dictionaries(toxic, plain, base, config), coefficients, config)
 
     def compressors(self):
-        if self._pair is None:
-            pair = []
-            for content in (self.ordinary, self.toxic):
-                book = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                book.precompute_compress(level=self.config.level)
-                pair.append(zstandard.ZstdCompressor(dict_data=book, write_content_size=False, write_dict_id=False, write_checksum=False))
-            self._pair = tuple(pair)
-        return self._pair
+        if self._made is None:
+            made = []
+            for pair in self.pairs:
+                both = []
+                for content in pair:
+                    book = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                    book.precompute_compress(level=self.config.level)
+                    both.append(zstandard.ZstdCompressor(dict_data=book, write_content_size=False, write_dict_id=False, write_checksum=False).compress)
+                made.append(tuple(both))
+            self._made = made
+        return self._made
 
     def savings(self, text: str | None) -> np.ndarray:
-        """Bytes that the toxic dictionary saves over the ordinary one, per window."""
-        plain, toxic = self.compressors()
-        return np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(text, self.config.window)], float)
+        """Bytes that the toxic dictionaries save over the ordinary ones on average, per window."""
+        pairs = self.compressors()
+        return np.array([sum(len(plain(w)) - len(toxic(w)) for plain, toxic in pairs) for w in windows(text, self.config.window)], float) / max(len(pairs), 1)
 
     def features(self, text: str | None) -> np.ndarray:
         d = self.savings(text)
-        total = np.clip(d, 0, None).sum()
-        return np.array([1.0, d.mean(), min(d.max(), 12.0), (d >= 1).mean(), (d >= 2).mean(), (d >= 3).mean(), np.log1p(total), np.log1p(len(d))])
+        total, root = np.clip(d, 0, None).sum(), np.sqrt(len(d))
+        return np.array([1.0, d.mean(), min(d.max(), 12.0), (d >= 1).mean(), (d >= 2).mean(), (d >= 3).mean(), np.log1p(total), np.log1p(len(d)), np.clip(d.sum() / root, -20, 20)])
 
     def score(self, text: str | None) -> float:
         if self.coefficients is None:
@@ -195,11 +189,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     marked = marked.groupBy("k").agg(F.max((F.col("y") != 0).cast("int")).alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     bounds = {1: config.max_toxic, 0: config.max_ordinary}
-    shares = {y: min(1.0, bounds[y] / max(sizes.get(y, 0), 1)) for y in bounds}
-    share = F.when(F.col("y") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
-    chosen = marked.where(hash_share(F.col("k"), "toxicity") < share).limit(2 * sum(bounds.values()))
-    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    # The chosen ids are at most 2 * (max_toxic + max_ordinary) rows of two numbers.
-    sample = texts.join(F.broadcast(chosen), "k").limit(4 * sum(bounds.values())).toPandas().sort_values(["k", "t"]).drop_duplicates(["k", "t"])
-    weights = [1.0 / shares[y] for y in sample["y"]]
+    first = [marked.where(F.col("y") == y).orderBy(F.xxhash64("k", F.lit("toxicity")), "k").limit(n) for y, n in bounds.items()]
+    # The chosen ids are at most max_toxic + max_ordinary rows of two numbers.
+    chosen = F.broadcast(first[0].unionByName(first[1]))
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(chosen, "k")
+    sample = texts.groupBy("k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")).toPandas().sort_values("k")
+    weights = [max(1.0, sizes[y] / bounds[y]) for y in sample["y"]]
     return ToxicityModel.fit(sample["t"].tolist(), sample["y"].tolist(), weights, config)
