@@ -328,12 +328,24 @@ def test_packing_odd_rows(spark, odd_docs, no_docs):
     assert pack_documents(no_docs, q.tokenizer_file()).count() == 0
 
 
+def plain_best_fit(demand, capacity):
+    """Piece by piece: the fullest bin that has room, longest pieces first."""
+    rooms = []
+    for length in range(capacity, 0, -1):
+        for _ in range(demand[length]):
+            fits = [r for r in rooms if r >= length]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else capacity) - length)
+    return len(rooms)
+
+
 def test_configurations_cover_the_histogram():
-    from tidelake.llm.packing import PackingConfig, best_fit, plan_sequences
+    from tidelake.llm.packing import PackingConfig, best_fit, plan_sequences, slots
 
     rng = np.random.RandomState(1)
     histogram = {int(k): int(n) for k, n in zip(*np.unique(rng.randint(1, 64, 20_000), return_counts=True))}
-    plan = plan_sequences(histogram, PackingConfig(capacity=64, best_fit_pieces=2000))
+    plan = plan_sequences(histogram, PackingConfig(capacity=64, rounds=200))
     got = {}
     for counts, times in plan:
         assert sum(k * n for k, n in counts.items()) <= 64
@@ -342,7 +354,28 @@ def test_configurations_cover_the_histogram():
     assert got == histogram
     least = -(-sum(k * n for k, n in histogram.items()) // 64)
     assert sum(t for _, t in plan) <= 1.01 * least
-    assert plan_sequences({}, PackingConfig()) == [] and len(best_fit(np.array([0, 0, 3]), 2)) == 3
+    rows, sequences = slots(plan)
+    assert sequences == sum(t for _, t in plan) and sum(r[2] - r[1] for r in rows) == 20_000
+    assert plan_sequences({}, PackingConfig()) == [] and sum(n for _, n in best_fit(np.array([0, 0, 3]), 2)) == 3
+
+
+def test_best_fit_on_counts_equals_best_fit_on_pieces():
+    from tidelake.llm.packing import PackingConfig, best_fit, plan_sequences
+
+    rng = np.random.RandomState(7)
+    for capacity in (5, 16, 64):
+        for _ in range(20):
+            demand = rng.poisson(rng.choice([0.3, 2, 9]), capacity + 1) * (np.arange(capacity + 1) > 0)
+            bins = best_fit(demand, capacity)
+            placed = np.zeros(capacity + 1, int)
+            for counts, n in bins:
+                assert sum(k * c for k, c in counts.items()) <= capacity
+                for k, c in counts.items():
+                    placed[k] += c * n
+            plain = plain_best_fit(demand, capacity)
+            assert placed.tolist() == demand.tolist() and sum(n for _, n in bins) == plain
+            plan = plan_sequences({k: int(n) for k, n in enumerate(demand) if n}, PackingConfig(capacity=capacity, rounds=20))
+            assert sum(n for _, n in plan) <= plain
 
 
 # ---------------------------------------------------------------- 7 WARC

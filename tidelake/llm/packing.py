@@ -4,13 +4,17 @@ The histogram of piece lengths (one count per length, however large the corpus)
 states a configuration linear program: how often to use each multiset of
 lengths that fits a sequence, so that every length is covered with the fewest
 sequences. Multiplicative weights solve it; a knapsack dynamic program prices
-the best configuration of each round. The fractional solution is rounded down,
-what is left is solved again until it is few, and best fit places the rest.
+the best configurations of each round. A share of the fractional solution is
+rounded down, the commonest configurations first, and what is left is solved
+again. After every pass best fit, which works on counts of equal bins, would
+place the rest; the pass with the fewest sequences is taken. Before the first
+pass that is best fit alone, so the result is never worse than that.
 Pieces then find their sequence by their rank within their length, which is
 counted in salted groups, so that no length is gathered in one task.
 
 Defined results: a null text packs as an empty one (its end token only).
-Repeated rows are packed once each. An empty table gives an empty result.
+Repeated rows are packed once each, null ids like others. An empty table gives
+an empty result. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -33,21 +37,16 @@ from tidelake.llm.common import as_table, ship, skew_join, starts
 class PackingConfig:
     capacity: int = 1024
     end_id: int = 2
-    #: Configurations that a solution may hold, and how many are traced from one set of prices.
-    configurations: int = 6000
-    traces_per_round: int = 60
-    step: float = 0.2
-    slack: float = 0.2
-    #: How much a trace prefers long pieces, which are the hard ones to place (a power of the length).
-    long_first: float = 8.0
-    #: Chance that a trace takes a piece that fills its room exactly, where there is one.
-    close: float = 0.8
-    #: Unused tokens that a configuration of the linear program may leave.
-    waste: int = 0
-    #: Pieces that best fit may place; more are solved by the linear program again.
-    best_fit_pieces: int = 100_000
-    #: Share of every length that the linear program places; the rest stays for best fit to top up with.
-    solved_share: float = 0.9
+    #: Rounds of multiplicative weights (at most one a sequence), and the configurations traced from one round's prices.
+    rounds: int = 2500
+    traces: int = 20
+    #: How fast a length gets cheaper as it is covered.
+    step: float = 0.5
+    #: Share of a sequence by which a piece may miss the dearest one in a trace, so that the traces of a round differ.
+    slack: float = 0.001
+    #: Times that the program is solved, and the share of each solution that is rounded; it must fill sequences exactly.
+    passes: int = 3
+    share: float = 0.8
     #: Pieces of one length that are numbered together.
     group_rows: int = 250
     #: Different words whose tokens a worker remembers.
@@ -177,105 +176,126 @@ def knapsack(prices: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def solve_configurations(demand: np.ndarray, config: PackingConfig) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each, by multiplicative weights.
+    """Configurations (a count per length) and how often to use each, by multiplicative weights.
 
-    Every round prices the lengths (the more of a length is covered, the
-    cheaper it gets), finds the worth of each room by dynamic programming, and
-    traces configurations whose worth is within ``slack`` of the dearest. A
-    trace prefers lengths with much uncovered demand, so that the configurations
-    of a round differ.
+    Every round prices the lengths (the more of a length is covered in relation
+    to the others, the cheaper it gets), finds the worth of each room by dynamic
+    programming, and traces configurations of the dearest worth, to within
+    ``slack`` a piece; ties are broken by a fixed random sequence.
     """
     capacity, lengths = config.capacity, np.arange(config.capacity + 1)
     used, need = np.flatnonzero(demand), demand.astype(float)
-    sequences = float(np.ceil((need * lengths).sum() / capacity))
-    traces = int(min(config.configurations, sequences))
-    amount = sequences / max(traces, 1)
-    bias = (lengths / capacity) ** config.long_first
-    covered, found, rng = np.zeros(capacity + 1), {}, np.random.RandomState(3)
-    for start in range(0, traces, config.traces_per_round):
+    if not len(used):
+        return []
+    sequences = (need * lengths).sum() / capacity
+    rounds = int(min(config.rounds, np.ceil(sequences)))
+    amount = sequences / (rounds * config.traces)
+    covered, rng, found = np.zeros(capacity + 1), np.random.RandomState(3), {}
+    for turn in range(rounds):
         prices = np.zeros(capacity + 1)
-        share = covered[used] / need[used]
-        prices[used] = used / capacity * np.exp(-config.step * (share - share.min()))
+        prices[used] = used / capacity * np.exp(-config.step * (covered[used] / need[used] - turn / rounds))
         best = knapsack(prices, capacity)
-        for _ in range(min(config.traces_per_round, traces - start)):
-            counts, room = np.zeros(capacity + 1, np.int32), capacity
+        for _ in range(config.traces):
+            picks, room = [], capacity
             while room:
-                left = need[1 : room + 1] - covered[1 : room + 1] - amount * counts[1 : room + 1]
                 worth = prices[1 : room + 1] + best[room - 1 :: -1]
-                chance = np.where((left >= amount) & (worth >= best[room] * (1 - config.slack)), left * bias[1 : room + 1], 0.0).cumsum()
-                if chance[-1] <= 0:
+                near = np.flatnonzero((worth >= best[room] - config.slack) & (prices[1 : room + 1] > 0))
+                if not len(near):
                     break
-                closes = left[-1] >= amount and counts.any() and rng.random_sample() < config.close
-                pick = room if closes else int(np.searchsorted(chance, rng.random_sample() * chance[-1], "right")) + 1
-                counts[pick] += 1
-                room -= pick
-            own = np.flatnonzero(counts)
-            # A configuration with much unused room would be a waste; best fit does better.
-            if room <= config.waste:
-                covered += amount * counts
-                key = own.tobytes() + counts[own].tobytes()
-                found[key] = (counts, found.get(key, (counts, 0.0))[1] + amount)
-    return list(found.values())
-
-
-def best_fit(demand: np.ndarray, capacity: int) -> list[np.ndarray]:
-    """Best fit, longest pieces first; a bin is a count per length."""
-    rooms: list[list[np.ndarray]] = [[] for _ in range(capacity + 1)]
-    open_rooms, bins = 0, []
+                picks.append(int(near[rng.randint(len(near))]) + 1)
+                room -= picks[-1]
+            np.add.at(covered, picks, amount)
+            key = tuple(sorted(picks))
+            found[key] = found.get(key, 0.0) + amount
+    return [(np.bincount(key, minlength=capacity + 1), x) for key, x in found.items()]
+
+
+def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest pieces first: (pieces per length, number of equal bins).
+
+    Equal bins are one entry: bins of one room take the pieces of a length
+    together, each as many as go in, as the bin that a piece has just entered is
+    the best fit for the next one.
+    """
+    rooms: list[list[tuple[tuple | None, int]]] = [[] for _ in range(capacity + 1)]
+    open_rooms, done = 0, []
+
+    def put(before, length: int, each: int, bins: int, room: int) -> None:
+        nonlocal open_rooms
+        entry = ((before, length, each), bins)
+        if room - each * length:
+            rooms[room - each * length].append(entry)
+            open_rooms |= 1 << (room - each * length)
+        else:
+            done.append(entry)
+
     for length in range(capacity, 0, -1):
-        for _ in range(int(demand[length])):
+        left = int(demand[length])
+        while left:
             fits = open_rooms >> length
+            room = length + (fits & -fits).bit_length() - 1 if fits else capacity
+            each = room // length
             if fits:
-                room = length + (fits & -fits).bit_length() - 1
-                counts = rooms[room].pop()
+                before, bins = rooms[room].pop()
                 if not rooms[room]:
                     open_rooms &= ~(1 << room)
             else:
-                room, counts = capacity, np.zeros(capacity + 1, np.int32)
-                bins.append(counts)
-            counts[length] += 1
-            left = room - length
-            if left:
-                rooms[left].append(counts)
-                open_rooms |= 1 << left
-    return bins
+                before, bins = None, -(-left // each)
+            whole = min(bins, left // each)
+            if whole:
+                put(before, length, each, whole, room)
+                left -= whole * each
+            if whole < bins and left:
+                put(before, length, left, 1, room)
+                left, whole = 0, whole + 1
+            if whole < bins:
+                rooms[room].append((before, bins - whole))
+                open_rooms |= 1 << room
+    out = []
+    for entry, bins in [*done, *(e for own in rooms for e in own)]:
+        counts: dict[int, int] = {}
+        while entry is not None:
+            entry, length, each = entry
+            counts[length] = counts.get(length, 0) + each
+        out.append((counts, bins))
+    return out
 
 
 def plan_sequences(histogram: dict[int, int], config: PackingConfig) -> list[tuple[dict[int, int], int]]:
-    """(pieces per length, number of sequences) for every piece of the histogram."""
+    """(pieces per length, number of sequences) for every piece of the histogram: the best of all passes."""
     left = np.zeros(config.capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
     plan: list[tuple[dict[int, int], int]] = []
-    while left.sum() > 0:
-        before = left.sum()
-        for counts, amount in sorted(solve_configurations(left * config.solved_share, config), key=lambda x: -x[1]):
+    best = best_fit(left, config.capacity)
+    for _ in range(config.passes):
+        for counts, x in sorted(solve_configurations(left, config), key=lambda c: -c[1]):
             own = np.flatnonzero(counts)
-            times = int(min(np.floor(amount), (left[own] // counts[own]).min()))
-            if times > 0:
-                left -= times * counts
-                plan.append(({int(k): int(counts[k]) for k in own}, times))
-        if left.sum() <= config.best_fit_pieces or left.sum() > 0.9 * before:
-            break
-    alike: dict[tuple, int] = {}
-    for counts in best_fit(left, config.capacity):
-        key = tuple((int(k), int(counts[k])) for k in np.flatnonzero(counts))
-        alike[key] = alike.get(key, 0) + 1
-    return plan + [(dict(key), times) for key, times in alike.items()]
-
-
-def slots(plan: list[tuple[dict[int, int], int]]) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(length, first rank, end rank, first sequence, offset) rows, and the number of sequences."""
+            if own @ counts[own] == config.capacity:
+                times = int(min(np.floor(x * config.share), (left[own] // counts[own]).min()))
+                if times > 0:
+                    left -= times * counts
+                    plan.append(({int(k): int(counts[k]) for k in own}, times))
+        whole = plan + best_fit(left, config.capacity)
+        best = min(best, whole, key=lambda p: sum(n for _, n in p))
+    return best
+
+
+def slots(plan: list[tuple[dict[int, int], int]]) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """(length, first rank, end rank, first sequence, sequences, offset) rows, and the number of sequences.
+
+    A row holds all pieces of one length in equal sequences: the next rank goes
+    to the next sequence, and from the last one back to the first, ``length`` further on.
+    """
     taken: dict[int, int] = {}
     rows, sequence = [], 0
     for counts, times in plan:
         offset = 0
         for length in sorted(counts, reverse=True):
-            for _ in range(counts[length]):
-                start = taken.get(length, 0)
-                rows.append((length, start, start + times, sequence, offset))
-                taken[length] = start + times
-                offset += length
+            start = taken.get(length, 0)
+            taken[length] = start + times * counts[length]
+            rows.append((length, start, taken[length], sequence, times, offset))
+            offset += length * counts[length]
         sequence += times
     return rows, sequence
 
@@ -289,7 +309,7 @@ def pack_pieces(pieces: DataFrame, config: PackingConfig = PackingConfig()) -> D
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     short = {k: n for k, n in histogram.items() if k < config.capacity}
     rows, sequences = slots(plan_sequences(short, config))
-    schema = T.StructType([T.StructField(n, T.LongType(), False) for n in ("s_length", "s_from", "s_to", "s_sequence", "s_offset")])
+    schema = T.StructType([T.StructField(n, T.LongType(), False) for n in ("s_length", "s_from", "s_to", "s_sequence", "s_times", "s_offset")])
     places = spark.createDataFrame(rows, schema)
 
     full = pieces.where(F.col("length") == config.capacity).select("*", (F.monotonically_increasing_id() + F.lit(sequences)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -299,9 +319,13 @@ def pack_pieces(pieces: DataFrame, config: PackingConfig = PackingConfig()) -> D
     in_group = Window.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_r", F.row_number().over(in_group).cast("long") - 1)
     ranked = skew_join(ranked, firsts, ["length", "_g"]).withColumn("_rank", F.col("_r") + F.col("_start"))
-    # ``places`` follows from the histogram: its size is bound by the capacity, not by the corpus.
+    # ``places`` has a row for each length of a configuration. The program traces rounds * traces of them at most, a
+    # configuration holds less than sqrt(2 * capacity) lengths, and best fit has some entries for each length: the bound
+    # is one of the settings, whatever the corpus.
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("s_length")) & (F.col("_rank") >= F.col("s_from")) & (F.col("_rank") < F.col("s_to")))
-    placed = placed.withColumn("sequence_id", F.col("s_sequence") + F.col("_rank") - F.col("s_from")).withColumn("offset", F.col("s_offset"))
+    place = F.col("_rank") - F.col("s_from")
+    turn = F.floor(place / F.col("s_times"))
+    placed = placed.withColumn("sequence_id", F.col("s_sequence") + F.pmod(place, F.col("s_times"))).withColumn("offset", F.col("s_offset") + turn * F.col("s_length"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return placed.select(columns).unionByName(full.select(columns))
 
