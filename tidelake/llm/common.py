@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 _LOCAL_FALLBACK: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: ``[^\x20\x09-\x0D]+``: a word, wherever words are counted or shingled.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -45,8 +47,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def ship() -> None:
-    """Give the session's executors this package, once: its Python functions import it there."""
-    context = SparkSession.active().sparkContext
+    """Make the session fit for this package's Python functions.
+
+    Its executors get the package, once. Arrow batches are bound to a few megabytes where the session
+    has Spark's default: a batch is held in the JVM and in the worker, several times over.
+    """
+    spark = SparkSession.active()
+    context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "4m")
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
