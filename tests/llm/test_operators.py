@@ -276,6 +276,41 @@ def test_url_distrust_where_many_hosts_are_blocked(spark):
     assert got == {i: "block" if i < 20 or i == 58 else "allow" for i in range(60)}
 
 
+def test_url_ranks_equal_a_plain_iteration(spark):
+    """PageRank with dangling mass sent to the seeds, by matrix, against the tables."""
+    from tidelake.llm.urlfilter import UrlFilterConfig, propagate
+
+    rng = np.random.RandomState(3)
+    n = 30
+    weight = (rng.rand(n, n) < 0.08) * rng.randint(1, 5, (n, n)) * (1 - np.eye(n))
+    weight[5:9] = 0  # hosts without an edge onwards
+    seed = np.zeros(n)
+    seed[[0, 3, 4]] = 1 / 3
+    total = weight.sum(1)
+    rank = seed.copy()
+    for _ in range(400):
+        rank = 0.15 * seed + 0.85 * ((weight / np.maximum(total, 1)[:, None]).T @ rank + rank[total == 0].sum() * seed)
+    ways = spark.createDataFrame([("trust", f"h{i}", f"h{j}", float(weight[i, j])) for i in range(n) for j in range(n) if weight[i, j]], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("trust", f"h{i}", float(seed[i])) for i in range(n) if seed[i]], "kind string, host string, seed double")
+    got = {r.host: r.value for r in propagate(ways, seeds, UrlFilterConfig(tolerance=1e-9, store_every=20)).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and max(abs(got.get(f"h{i}", 0) - rank[i]) for i in range(n)) < 1e-7
+    chain = spark.createDataFrame([("trust", a, b, 1.0) for a, b in ("ab", "bc", "dc")], ways.schema)
+    one = spark.createDataFrame([("trust", "a", 1.0)], seeds.schema)
+    assert abs(sum(r.value for r in propagate(chain, one, UrlFilterConfig()).collect()) - 1) < 1e-9
+
+
+def test_url_links_resolve_base_and_domains_pass_trust_on(spark, sf):
+    from tidelake.llm.urlfilter import domain_edges, host_links
+
+    html = '<base href="//b.example/x/"><a href="/r">1</a><a href=r2>2</a><a href="mailto:x@y">3</a><a href="#t">4</a><A class=k HREF=\'HTTPS://C.Example:8/\'>5</A><a href="//a.example/">6</a>'
+    pages = spark.createDataFrame([("http://a.example/p", html), ("http://b.example/", '<a href="/r">1</a>'), ("http://c.example", None)], "url string, html string")
+    assert sorted(map(tuple, host_links(pages).collect())) == [("a.example", "b.example", 2.0), ("a.example", "c.example:8", 1.0)]
+    hosts = spark.createDataFrame([("a.b.c.d:80",), ("c.d",), ("x",), ("b.c.d",)], "host string")
+    assert sorted((r.lower, r.upper) for r in domain_edges(hosts, 1.0).collect()) == [("a.b.c.d:80", "b.c.d"), ("b.c.d", "c.d")]
+    scored = q.op5_url_filter(spark, "/root/testdata/sf0.01").where("rule is null and trust > 0")
+    assert scored.count() > 0  # pages without a rule that the propagation reaches
+
+
 # ---------------------------------------------------------------- 6 packing
 
 
