@@ -19,6 +19,10 @@ PART = ("p_partkey", "p_brand", "p_size")
 SEGMENTS = "SELECT c_mktsegment, COUNT(*) AS n, CAST(SUM(c_nationkey) AS BIGINT) AS keys FROM {t} GROUP BY c_mktsegment"
 STATUS = "SELECT o_orderkey, o_custkey FROM {t} WHERE o_orderstatus = 'F'"
 STATUSES = "SELECT o_orderstatus, COUNT(*) AS n FROM {t} WHERE o_orderstatus IN ('F', 'P') AND o_orderkey > 100 GROUP BY o_orderstatus"
+#: An alias that has a column's name is not that column.
+HIDDEN = "SELECT COUNT(*) AS n FROM (SELECT CAST(rand(1) * 0 + 1 AS INT) AS p_size FROM {t}) t WHERE p_size < 5"
+SWAPPED = "SELECT COUNT(*) AS n FROM (SELECT p_size AS p_partkey, CAST(rand(1) * 0 AS INT) AS z FROM {t}) t WHERE p_partkey >= 40 AND z = 0"
+DATED = "SELECT o_orderkey, o_orderdate FROM {t} WHERE o_orderdate >= DATE '1996-03-01' AND o_orderdate < DATE '1997-01-01' AND o_orderpriority <= '3'"
 PARTS = "SELECT p_partkey, p_size FROM {t} WHERE p_partkey >= 150 AND p_size < 40"
 
 
@@ -77,6 +81,30 @@ def delta_stats_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, _parts(spark, sf_dir), PARTS)
 
 
+def delta_hidden_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, _parts(spark, sf_dir), HIDDEN)
+
+
+def delta_swapped_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, _parts(spark, sf_dir), SWAPPED)
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DeltaFixture:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority")
+    table = DeltaFixture(spark, scratch(spark, "delta-dated"), rows.schema.json())
+    files = []
+    for low, high in (("0001-01-01", "1995-01-01"), ("1995-01-01", "1996-06-01"), ("1996-06-01", "9999-12-31")):
+        part = rows.where((F.col("o_orderdate") >= F.lit(low).cast("date")) & (F.col("o_orderdate") < F.lit(high).cast("date")))
+        for own in (part.where("o_orderpriority < '3'"), part.where("o_orderpriority >= '3'")):
+            files += table.add(own, kinds=("date", "string"))
+    table.commit(*files)
+    return table
+
+
+def delta_date_and_text_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, _dated(spark, sf_dir), DATED)
+
+
 def delta_checkpoint_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _customers(spark, sf_dir)
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -113,7 +141,7 @@ def table_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (delta_latest_snapshot, delta_time_travel, delta_partition_prune, delta_partition_in, delta_stats_skip, delta_checkpoint_replay, delta_self_join, delta_history, result_page_wrap, parquet_inspection, table_catalog)
+    found = (delta_latest_snapshot, delta_time_travel, delta_partition_prune, delta_partition_in, delta_stats_skip, delta_hidden_alias, delta_swapped_alias, delta_date_and_text_skip, delta_checkpoint_replay, delta_self_join, delta_history, result_page_wrap, parquet_inspection, table_catalog)
     return {f.__name__: f for f in found}
 
 
@@ -124,6 +152,9 @@ def oracle_sql() -> dict[str, str]:
         "delta_partition_prune": STATUS.format(t="orders"),
         "delta_partition_in": STATUSES.format(t="orders"),
         "delta_stats_skip": PARTS.format(t="part"),
+        "delta_hidden_alias": "SELECT COUNT(*) AS n FROM part",
+        "delta_swapped_alias": "SELECT COUNT(*) AS n FROM part WHERE p_size >= 40",
+        "delta_date_and_text_skip": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-03-01' AND CAST(o_orderdate AS DATE) < DATE '1997-01-01' AND o_orderpriority <= '3'",
         "delta_checkpoint_replay": SEGMENTS.format(t="customer"),
         "delta_self_join": "SELECT a.o_custkey, COUNT(*) AS pairs FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'P' GROUP BY a.o_custkey",
         "delta_history": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'WRITE', CAST(0 AS BIGINT), CAST(0 AS BIGINT)), (1, 'WRITE', 1, 0), (2, 'WRITE', 1, 0)) t(version, operation, added, removed)",

@@ -50,17 +50,17 @@ class DeltaFixture:
     def metadata(self) -> dict:
         return {"id": "fixture", "format": {"provider": "parquet", "options": {}}, "schemaString": self.schema, "partitionColumns": list(self.partition_columns), "configuration": self.properties}
 
-    def add(self, df: DataFrame, partition: dict[str, str | None] | None = None, with_stats: bool = True) -> list[dict]:
-        """Write one file and return its action."""
+    def add(self, df: DataFrame, partition: dict[str, str | None] | None = None, with_stats: bool = True, kinds: tuple[str, ...] = INTEGERS) -> list[dict]:
+        """Write one file and return its action, with bounds of the columns of ``kinds``."""
         folder = f"data-{uuid.uuid4().hex}"
         rows = df.drop(*self.partition_columns)
         rows.coalesce(1).write.parquet(f"{self.root}/{folder}")
         found = {n: size for n, (_, size) in jvm.listing(self.spark, f"{self.root}/{folder}").items() if n.endswith(".parquet")}
         stats = None
         if with_stats:
-            numbers = [c for c, kind in rows.dtypes if kind in INTEGERS]
+            numbers = [c for c, kind in rows.dtypes if kind in kinds]
             s = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in numbers for k, f in (("min", F.min), ("max", F.max))]).first()
-            stats = json.dumps({"numRecords": s["n"], "minValues": {c: s[f"min_{c}"] for c in numbers}, "maxValues": {c: s[f"max_{c}"] for c in numbers}})
+            stats = json.dumps({"numRecords": s["n"], "minValues": {c: s[f"min_{c}"] for c in numbers}, "maxValues": {c: s[f"max_{c}"] for c in numbers}}, default=str)
         return [{"add": {"path": f"{folder}/{n}", "partitionValues": partition or {}, "size": size, "modificationTime": 0, "dataChange": True, "stats": stats}} for n, size in found.items()]
 
     def commit(self, *actions: dict, operation: str = "WRITE") -> int:
