@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import SIMILARITY, as_table, bind, shingle_hashes, shingles_of, ship, skew_join, whole_row, words_of
+from tidelake.llm.common import SIMILARITY, as_table, bind, shingle_hashes, shingles_of, ship, skew_join, trim, whole_row, words_of
 from tidelake.llm.components import components
 
 
@@ -143,6 +143,7 @@ def with_bands(shingled: DataFrame, config: NearDupConfig) -> DataFrame:
             for batch in batches:
                 sets = [np.unique(np.asarray(x, np.int64)) for x in batch["shingles"]]
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "content": batch["content"], "size": [len(x) for x in sets], "bands": band_keys(sets, config)})
+        trim()
 
     return shingled.mapInPandas(sign, "doc_id long, content string, size int, bands array<bigint>")
 

@@ -25,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidelake.llm.common import as_table, ship, skew_join, starts
+from tidelake.llm.common import as_table, ship, skew_join, starts, trim
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class PackingConfig:
     #: Pieces of one length that are numbered together.
     group_rows: int = 250
     #: Different words whose tokens a worker remembers.
-    cached_words: int = 400_000
+    cached_words: int = 100_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -158,6 +158,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
+        bpe.words.clear()
+        trim()
 
     ship()
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -309,8 +311,9 @@ def pack_pieces(pieces: DataFrame, config: PackingConfig = PackingConfig()) -> D
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     short = {k: n for k, n in histogram.items() if k < config.capacity}
     rows, sequences = slots(plan_sequences(short, config))
-    schema = T.StructType([T.StructField(n, T.LongType(), False) for n in ("s_length", "s_from", "s_to", "s_sequence", "s_times", "s_offset")])
-    places = spark.createDataFrame(rows, schema)
+    # By Arrow, as rows of Python objects would start Python workers of their own.
+    names = ("s_length", "s_from", "s_to", "s_sequence", "s_times", "s_offset")
+    places = spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)}))
 
     full = pieces.where(F.col("length") == config.capacity).select("*", (F.monotonically_increasing_id() + F.lit(sequences)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     groups = F.create_map(*[x for k, n in sorted(short.items()) for x in (F.lit(k).cast("long"), F.lit(-(-n // config.group_rows)).cast("long"))]) if short else F.create_map(F.lit(0).cast("long"), F.lit(1).cast("long"))
