@@ -517,7 +517,7 @@ def test_neighbours_odd_rows(spark):
 
     rows = [(0, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0]), (2, None), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 2.0]), (5, [1.0, float("nan"), 2.0]), (6, [float("inf"), 0.0, 1.0]), (None, [1.0, 1.0, 1.0]), (7, [1.0]), (9, [5.0, 5.0, 5.0]), (8, [1.0, 0.0, 2.0]), (0, [1.0, 0.0, 2.0])]
     vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
-    got = nearest(vectors, vectors.where("vec_id = 0 or vec_id = 3"), config=AnnConfig(block=1)).orderBy("rank").collect()
+    got = nearest(vectors, vectors.where("vec_id = 0 or vec_id = 3"), config=AnnConfig(block_rows=2, block_queries=1)).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.0), (0, 2, 8, 0.0), (0, 3, 9, pytest.approx(np.sqrt(16 + 25 + 9)))]
     assert nearest(vectors.limit(0), vectors).count() == 0
     many = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(500)] + [(1000, [1.0, 2.1])], "vec_id long, embedding array<double>")
@@ -526,21 +526,25 @@ def test_neighbours_odd_rows(spark):
     assert (unpack_nibbles(pack_nibbles(codes), 5) == codes).all()
 
 
-@pytest.mark.parametrize("kind", ["large", "groups"])
-def test_neighbours_are_exact_past_the_first_rows(spark, tmp_path, kind):
-    """Tables in one partition, far larger than the rows that are measured first; near copies that outnumber them."""
-    from tidelake.llm.ann import nearest
+@pytest.mark.parametrize(("kind", "parts"), [("large", 1), ("groups", 1), ("clusters", 1), ("clusters", 16), ("shifted", 4)])
+def test_neighbours_are_those_of_an_exhaustive_search(spark, tmp_path, kind, parts):
+    """Tables far larger than the rows that are measured first; near copies that outnumber them; 50 tight clusters."""
+    from tidelake.llm.ann import AnnConfig, nearest
 
     rng = np.random.RandomState(3)
     if kind == "large":
         x = rng.normal(size=(60_000, 64))
-    else:
+    elif kind == "groups":
         x = np.repeat(rng.normal(size=(20, 64)) / 8, 1000, 0) + 0.02 * rng.normal(size=(20_000, 64))
-    x = (x / np.sqrt((x**2).sum(1, keepdims=True))).astype(np.float32)
+    else:
+        x = rng.normal(size=(50, 64))[rng.randint(50, size=50_000)] + 0.05 * rng.normal(size=(50_000, 64)) + (20 if kind == "shifted" else 0)
+    if kind in ("large", "groups"):
+        x = x / np.sqrt((x**2).sum(1, keepdims=True))
+    x = x.astype(np.float32)
     pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(tmp_path / "x.parquet")
-    vectors = spark.read.parquet(f"file://{tmp_path}/x.parquet").coalesce(1)
+    vectors = spark.read.parquet(f"file://{tmp_path}/x.parquet").repartition(parts)
     step = len(x) // 40
-    got = nearest(vectors, vectors.where(f"vec_id % {step} = 0")).toPandas().sort_values(["query_id", "rank"])
+    got = nearest(vectors, vectors.where(f"vec_id % {step} = 0"), config=AnnConfig(block_queries=16)).toPandas().sort_values(["query_id", "rank"])
     exact, hits, n = x.astype(np.float64), 0, 0
     for i in range(0, len(x), step):
         d = np.sqrt(((exact - exact[i]) ** 2).sum(1))
@@ -549,6 +553,15 @@ def test_neighbours_are_exact_past_the_first_rows(spark, tmp_path, kind):
     assert hits / n == 1
 
 
+def test_neighbours_of_every_dimension(spark):
+    from tidelake.llm.ann import nearest
+
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(i, [float(i), 1.0, 2.0]) for i in range(6, 9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(vectors, vectors.where("vec_id in (0, 7)")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, k) for k in range(1, 6)] + [(7, 6), (7, 8)]
+
+
 # ---------------------------------------------------------------- 10 languages
 
 
