@@ -16,6 +16,7 @@ from tidelake.plans.sqltext import similar_pattern, to_spark, with_null_order
 from tidelake.sources import deltalog
 from tidelake.sources.fixture import DeltaFixture, put_text, scratch
 
+# The sample table, and the queries, rows and file counts that are expected of it below.
 ROWS = [(1, "A", 10), (2, "B", 20), (3, "A", 30), (4, "B", 40), (5, "B", 50), (6, "C", 60)]
 COLUMNS = "id int, category string, value int"
 
@@ -270,8 +271,8 @@ def test_cursor_preview_and_pages(spark):
 def test_history_and_text(spark, two_commits):
     assert [(r.version, r.added) for r in deltalog.history(spark, two_commits.root).orderBy("version").collect()] == [(0, 0), (1, 1), (2, 1)]
     assert "secret" not in redacted("https://user:secret@x/y?X-Amz-Signature=secret&sig=secret")
-    assert similar_pattern("a%_.") == r"^(?:a.*.\.)$"
-    assert to_spark("SELECT a FROM t WHERE b SIMILAR TO 'x%' ;").endswith("RLIKE  r'^(?:x.*)$'")
+    assert similar_pattern("a%_.") == r"(?s)^(?:a.*.\.)$"
+    assert to_spark("SELECT a FROM t WHERE b SIMILAR TO 'x%' ;").endswith("RLIKE  r'(?s)^(?:x.*)$'")
 
 
 def test_many_partitions_read_with_one_reader(spark):
@@ -285,3 +286,45 @@ def test_many_partitions_read_with_one_reader(spark):
         assert ask(spark, t, "SELECT part, COUNT(*) AS n FROM lake_table WHERE part > 1 GROUP BY part ORDER BY part")[0] == [(2, 4), (3, 4), (4, 4)]
     finally:
         module.LITERAL_TUPLES = old
+
+
+@pytest.mark.parametrize(
+    "sql, n",
+    [
+        ("SELECT COUNT(*) AS n FROM (SELECT CAST(rand(1) * 0 + 1 AS INT) AS value FROM lake_table) t WHERE value < 5", 6),
+        ("SELECT COUNT(*) AS n FROM (SELECT value AS id, CAST(rand(1) * 0 AS INT) AS z FROM lake_table) t WHERE id >= 40 AND z = 0", 3),
+        ("SELECT COUNT(*) AS n FROM (SELECT id AS value, value AS id FROM lake_table) t WHERE value >= 5", 2),
+        ("SELECT COUNT(*) AS n FROM (SELECT 1 AS category, id FROM lake_table) t WHERE category = 1 AND id > 2", 4),
+    ],
+)
+def test_aliases_are_not_the_columns_that_they_hide(spark, two_commits, partitioned, sql, n):
+    for table in (two_commits, partitioned):
+        assert ask(spark, table, sql)[0] == [(n,)]
+
+
+def test_dates_and_strings_skip_files(spark):
+    rows = spark.sql("SELECT id, date_add(DATE '2024-01-01', CAST(id AS INT)) AS day, concat('n', lpad(id, 3, '0')) AS name FROM range(40)").selectExpr("CAST(id AS INT) AS id", "day", "name")
+    t = DeltaFixture(spark, scratch(spark, "dates"), rows.schema.json())
+    t.commit(*[a for k in range(4) for a in t.add(rows.where(f"id DIV 10 = {k}"), kinds=("date", "string"))])
+    for sql, n, touched in (("day >= DATE '2024-01-25'", 16, 2), ("day = DATE '2024-01-05'", 1, 1), ("name < 'n005'", 5, 1), ("name IN ('n011', 'n039')", 2, 3), ("DATE '2023-01-01' > day", 0, 0), ("upper(name) < 'A'", 0, 4)):
+        got, result = ask(spark, t, f"SELECT id FROM lake_table WHERE {sql}")
+        assert (len(got), result.metrics.files_touched) == (n, touched), sql
+
+
+def test_similar_to_patterns(spark):
+    session = LakeSession(spark)
+    values = ["O'Neil", "OxNeil", "a%b", "axb", "line\nbreak", "50%", "501", "[x]", "a.c"]
+    session.register("lake_table", [(v,) for v in values], "v string")
+    for pattern, wanted in (("'O''Neil'", {"O'Neil"}), ("'a[%]b'", {"a%b"}), ("'line%break'", {"line\nbreak"}), ("'50!%' ESCAPE '!'", {"50%"}), ("'50_'", {"50%", "501"}), ("'(a.c|axb)'", {"a.c", "axb"}), ("'![x!]' ESCAPE '!'", {"[x]"}), ("'[^a-z]x]'", {"[x]"})):
+        assert {r.v for r in session.execute(f"SELECT v FROM lake_table WHERE v SIMILAR TO {pattern}").frame.collect()} == wanted, pattern
+
+
+def test_narrow_filters_and_names(spark):
+    from tidelake.plans.lowering import Condition, lowered
+
+    plan = lowered(spark, "SELECT t.a AS x, b FROM t WHERE 5 >= a AND t.b IN ('u', 'v') AND c IS NOT NULL AND d = FALSE ORDER BY x DESC, b LIMIT 7", "t")
+    assert plan.filters == (Condition("compare", "a", "lte", (5,)), Condition("in_list", "b", None, ("u", "v")), Condition("is_not_null", "c"), Condition("compare", "d", "eq", (False,)))
+    assert plan.order_by == (("x", True), ("b", False)) and plan.limit == 7 and plan.required == ("a", "b", "c", "d")
+    for sql in ("SELECT a FROM t WHERE a NOT IN (1)", "SELECT a FROM t WHERE a BETWEEN 1 AND 2", "SELECT a FROM t WHERE a = 1.5", "SELECT * FROM t", "SELECT COUNT(DISTINCT a) AS n FROM t", "SELECT SUM(a) FROM t", "SELECT a, SUM(b) AS s FROM t", "SELECT q.n FROM (SELECT COUNT(*) AS n FROM t) q", "SELECT a FROM t LIMIT 1 + 1"):
+        with pytest.raises(QueryError):
+            lowered(spark, sql, "t")

@@ -117,6 +117,8 @@ class QueryOptions:
     collect_metrics: bool = True
     page: ResultPage | None = None
     limits: RuntimeLimits | None = None
+    #: Capabilities that the caller relies on; restricted targets check them.
+    needs: frozenset[CapabilityKey] = frozenset()
 
 
 @dataclass(frozen=True)

@@ -25,6 +25,9 @@ class RuntimeConfig:
     request_timeout: float = 30.0
     execution_timeout: float = DEADLINE
     cache_bytes: int | None = None
+    #: What a scan of the narrow target may hold; more goes to the native one.
+    narrow_rows: int = 1_000_000
+    narrow_bytes: int = 256 << 20
 
     def __post_init__(self):
         if self.target_partitions < 1 or self.batch_rows < 1:
@@ -33,6 +36,8 @@ class RuntimeConfig:
             raise invalid("timeouts must be above 0")
         if self.cache_bytes is not None and self.cache_bytes < 0:
             raise invalid("the cache can't be negative")
+        if self.narrow_rows < 0 or self.narrow_bytes < 0:
+            raise invalid("the narrow target's budget can't be negative")
 
 
 def same_snapshot(snapshot: Snapshot, uri: str, version: int | None) -> None:

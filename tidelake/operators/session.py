@@ -32,8 +32,11 @@ from tidelake.contract import (
     Target,
     invalid,
 )
+from tidelake.operators import control
+from tidelake.operators.control import RuntimeConfig
 from tidelake.plans import gate, jvm
 from tidelake.plans.errors import mapped
+from tidelake.plans.lowering import lowered, run_by_native
 from tidelake.plans.pruning import kept_files, pushdown_trace, scan_filters
 from tidelake.plans.sqltext import to_spark
 from tidelake.sources import deltalog
@@ -53,14 +56,18 @@ class OpenTable:
 
 
 class LakeSession:
-    def __init__(self, spark: SparkSession, limits: RuntimeLimits | None = None, cache_bytes: int | None = None):
+    def __init__(self, spark: SparkSession, limits: RuntimeLimits | None = None, cache_bytes: int | None = None, config: RuntimeConfig | None = None):
         self.spark = spark.newSession()
+        self.config = config or RuntimeConfig(cache_bytes=cache_bytes)
+        cache_bytes = self.config.cache_bytes if cache_bytes is None else cache_bytes
         for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold"):
             self.spark.conf.set(key, spark.conf.get(key))
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
         self.limits, self.cache_bytes = limits, cache_bytes
         self.tables: OrderedDict[str, OpenTable] = OrderedDict()
+        #: The files that the last query's scans of a table can need.
+        self.kept: dict[str, DataFrame] = {}
 
     # ------------------------------------------------------------ tables
 
@@ -170,7 +177,8 @@ class LakeSession:
                 if table.snapshot is None:
                     continue
                 scans = scan_filters(planned, {f.name.lower() for f in table.snapshot.schema})
-                kept = kept_files(table.snapshot, scans).collect()
+                self.kept[table.name] = kept_files(table.snapshot, scans)
+                kept = self.kept[table.name].collect()
                 traces += pushdown_trace(table.snapshot, scans)
                 touched += len(kept)
                 size += sum(f["size"] or 0 for f in kept)
@@ -194,6 +202,14 @@ class LakeSession:
         limits = (self.limits or RuntimeLimits()).within(options.limits)
         with mapped(target):
             df, metrics, _ = self._plan(sql)
+            opened = self.tables[table].snapshot
+            if target is Target.NARROW:
+                fields = opened.schema if opened else self.tables[table].frame.schema
+                run_by_native(lowered(self.spark, sql, table), {f.name.lower(): f.dataType.simpleString() for f in fields})
+                if opened:
+                    control.within_narrow_budget(self.kept[table], self.config.narrow_rows, self.config.narrow_bytes)
+            if opened and target is not Target.NATIVE:
+                require(opened.capabilities, options.needs, target)
             if limits.max_scan_bytes is not None and metrics.bytes_planned > limits.max_scan_bytes:
                 raise QueryError(ErrorCode.RESOURCE_EXHAUSTED, f"the scan needs {metrics.bytes_planned} bytes; the limit is {limits.max_scan_bytes}", target, resource=Resource.SCAN_BYTES)
             if options.page:
@@ -221,15 +237,22 @@ def page(df: DataFrame, wanted: ResultPage) -> DataFrame:
     return df.offset(wanted.offset).limit(wanted.limit) if wanted.offset else df.limit(wanted.limit)
 
 
-def execute_query(spark: SparkSession, request: QueryRequest) -> QueryResult:
+def execute_query(spark: SparkSession, request: QueryRequest, config: RuntimeConfig | None = None) -> QueryResult:
     """One query on one table: open the snapshot, gate, prune, plan."""
     if request.options.limits is not None and request.preferred_target is Target.NATIVE:
         raise invalid("the native target takes no runtime limits")
-    session = LakeSession(spark)
-    session.open_delta(request.table_uri, request.snapshot_version)
+    session = LakeSession(spark, config=config)
+    snapshot = session.open_delta(request.table_uri, request.snapshot_version)
+    control.same_snapshot(snapshot, request.table_uri, request.snapshot_version)
     return session.execute(request.sql, options=request.options, target=request.preferred_target)
 
 
+def collect_query(spark: SparkSession, request: QueryRequest, config: RuntimeConfig | None = None) -> list:
+    """The rows of ``execute_query``, within the configured execution time."""
+    config = config or RuntimeConfig()
+    return control.collect_within(execute_query(spark, request, config).frame, config.execution_timeout)
+
+
 def bootstrap_table(spark: SparkSession, uri: str) -> dict:
     snapshot = deltalog.resolve(spark, uri)
     return {"uri": snapshot.uri, "version": snapshot.version, "active_files": snapshot.files.count()}

@@ -2,8 +2,8 @@
 
 ``native`` takes one read-only query whose every source is the open table or a
 common table expression. ``session`` also rejects joins, common table
-expressions and set operations; ``narrow`` also rejects what needs more than
-filter, grouped aggregate, sort and limit over plain columns.
+expressions, set operations, named windows and column lists; ``narrow`` also
+rejects what doesn't lower to its plan (``plans/lowering.py``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from tidelake.contract import ErrorCode, FallbackReason, QueryError, Target, invalid
 from tidelake.plans import jvm
+from tidelake.plans.lowering import lowered
 from tidelake.plans.sqltext import has_outer_clause, to_spark, tokens
 
 #: Plan nodes that no profile takes, with what they are.
@@ -31,12 +32,11 @@ NEVER = {
     "Unpivot": "UNPIVOT",
     "UnresolvedUnpivot": "UNPIVOT",
     "ScriptTransformation": "TRANSFORM",
-    "UnresolvedSubqueryColumnAliases": "column aliases of a source",
 }
 SETS = {"Union", "Intersect", "Except", "Distinct.Union"}
 QUERY = {
     "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith",
-    "Union", "Intersect", "Except", "Join", "WithWindowDefinition", "UnresolvedHaving", "OneRowRelation", "UnionLoop", "UnresolvedOrdinal", "CTERelationRef", "WithCTE", "View",
+    "Union", "Intersect", "Except", "Join", "WithWindowDefinition", "UnresolvedHaving", "OneRowRelation", "UnionLoop", "UnresolvedOrdinal", "CTERelationRef", "WithCTE", "View", "UnresolvedSubqueryColumnAliases",
 }
 
 
@@ -119,6 +119,10 @@ def check(spark: SparkSession, sql: str, allowed: set[str], target: Target = Tar
         for has, what in ((out.has_join, "a join"), (out.has_set_operation, "a set operation")):
             if has:
                 raise _needs_native(what, target)
+        if any(jvm.name(n) == "WithWindowDefinition" for n in found):
+            raise invalid("a named WINDOW clause isn't supported", target)
+        if any(jvm.name(n) == "UnresolvedSubqueryColumnAliases" for n in found):
+            raise invalid("column lists of sources aren't supported", target)
     if target is Target.SESSION and out.has_with:
         raise _needs_native("a common table expression", target)
     if target is Target.NARROW:
@@ -127,4 +131,6 @@ def check(spark: SparkSession, sql: str, allowed: set[str], target: Target = Tar
                 raise _needs_native(what, target)
         if has_outer_clause(sql, {"OFFSET"}):
             raise _needs_native("OFFSET", target)
+        for table in allowed:
+            lowered(spark, sql, table)
     return out

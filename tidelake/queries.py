@@ -61,6 +61,8 @@ SAME: dict[str, str] = {
     "derived_table_count": "SELECT COUNT(*) AS high_rows FROM (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 20) filtered",
     "cte_grouped_sum": "WITH base AS (SELECT o_orderstatus, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS cents FROM orders) SELECT o_orderstatus, CAST(SUM(cents) AS BIGINT) AS total_cents FROM base GROUP BY o_orderstatus",
     "cte_alias_projection": "WITH a AS (SELECT p_partkey AS id, p_size AS value FROM part), b AS (SELECT id, value + 1 AS next_value FROM a WHERE value < 5) SELECT id, next_value FROM b",
+    "cte_column_list": "WITH t(id, size_of) AS (SELECT p_partkey, p_size FROM part) SELECT id, size_of FROM t WHERE size_of > 40",
+    "derived_column_list": "SELECT q.k, q.n FROM (SELECT o_orderstatus, COUNT(*) FROM orders GROUP BY o_orderstatus) AS q(k, n)",
     "cte_reused_join": "WITH t AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT a.o_custkey, a.n FROM t a JOIN t b ON a.o_custkey = b.o_custkey WHERE b.n >= 20",
     # aggregates
     "count_star": "SELECT COUNT(*) AS row_count FROM lineitem",
@@ -141,7 +143,31 @@ JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
 PAIRS: dict[str, tuple[str, str]] = {
     "filter_rlike": ("SELECT p_partkey FROM part WHERE p_brand RLIKE '^Brand#[1-2]'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#[1-2]')"),
     "filter_similar_to": ("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#[12]%'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#[12].*$')"),
-    "filter_any_all": ("SELECT n_nationkey FROM nation WHERE exists(array(1, 3, 5), x -> n_nationkey = x) OR forall(array(20, 22), x -> n_nationkey > x)", "SELECT n_nationkey FROM nation WHERE n_nationkey = ANY([1, 3, 5]) OR (n_nationkey > 20 AND n_nationkey > 22)"),
+    "filter_similar_to_classes": (
+        "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand[#%]([1-2]_|3[^3-9]+)' OR p_type NOT SIMILAR TO '%(STEEL|TIN!%)' ESCAPE '!'",
+        "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand[#%]([1-2].|3[^3-9]+)$', 's') OR NOT regexp_matches(p_type, '^.*(STEEL|TIN%)$', 's')",
+    ),
+    "filter_any_all": ("SELECT n_nationkey FROM nation WHERE n_nationkey = ANY (array(1, 3, 5)) OR n_nationkey > ALL (array(20, 22))", "SELECT n_nationkey FROM nation WHERE n_nationkey = ANY([1, 3, 5]) OR (n_nationkey > 20 AND n_nationkey > 22)"),
+    "filter_any_subquery": (
+        "SELECT c_custkey FROM customer WHERE c_custkey = ANY (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_nationkey <> ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+        "SELECT c_custkey FROM customer WHERE c_custkey = ANY (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_nationkey <> ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+    ),
+    "json_arrows": ("SELECT event_id, props ->> 'k' AS as_text, props -> 'k' AS as_json FROM events", "SELECT event_id, props ->> '$.k' AS as_text, CAST(props -> '$.k' AS VARCHAR) AS as_json FROM events"),
+    "at_time_zone_syntax": ("SELECT event_id, ts AT TIME ZONE 'America/New_York' AS utc FROM events", "SELECT event_id, (ts AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS utc FROM events"),
+    "convert_syntax": ("SELECT p_partkey, CONVERT(p_size, VARCHAR) AS as_text, CONVERT(p_retailprice, BIGINT) AS whole FROM part", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS as_text, CAST(trunc(p_retailprice) AS BIGINT) AS whole FROM part"),
+    "array_agg_filter_order": (
+        "SELECT n_regionkey, array_join(ARRAY_AGG(n_name ORDER BY n_name DESC) FILTER (WHERE n_nationkey > 5), ',') AS names, size(ARRAY_AGG(NULLIF(n_nationkey, 3))) AS all_rows FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_name DESC) FILTER (WHERE n_nationkey > 5), ',') AS names, CAST(len(array_agg(NULLIF(n_nationkey, 3))) AS INT) AS all_rows FROM nation GROUP BY n_regionkey",
+    ),
+    "array_agg_window": (
+        "SELECT n_nationkey, array_join(ARRAY_AGG(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), ',') AS so_far FROM nation",
+        "SELECT n_nationkey, array_to_string(array_agg(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), ',') AS so_far FROM nation",
+    ),
+    "string_agg_ordered": ("SELECT n_regionkey, STRING_AGG(n_name, '|' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey"),
+    "types_decimal_binary_ntz": (
+        "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15, 2)) AS exact, hex(CAST(o_orderstatus AS BINARY)) AS bytes, CAST(o_orderdate AS TIMESTAMP_NTZ) AS local_time FROM orders",
+        "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15, 2)) AS exact, hex(CAST(o_orderstatus AS BLOB)) AS bytes, o_orderdate AS local_time FROM orders",
+    ),
     "filter_is_unknown": ("SELECT p_partkey FROM part WHERE (NULLIF(p_size, 7) > 3) IS UNKNOWN", "SELECT p_partkey FROM part WHERE (NULLIF(p_size, 7) > 3) IS NULL"),
     "array_agg_sorted": (
         "SELECT n_regionkey, array_join(transform(array_sort(transform(collect_list(struct(NULLIF(n_nationkey, 3) AS x)), e -> e.x)), e -> coalesce(cast(e AS STRING), 'NULL')), ',') AS keys FROM nation GROUP BY n_regionkey",

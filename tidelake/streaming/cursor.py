@@ -1,6 +1,7 @@
 """Results as they come: an Arrow IPC stream in bounded chunks, a preview, pages.
 
-Partitions reach the driver one at a time, so a result never has to fit there.
+Executors encode Arrow batches; partitions reach the driver one at a time, and
+a chunk is made when it is asked for, so a result never has to fit there.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame
 from tidelake.contract import ErrorCode, QueryError, Resource, ResultPage, RuntimeLimits
 
 CHUNK_BYTES = 1 << 20
-PENDING_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -61,18 +61,19 @@ class ArrowCursor:
 
     def _batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         context = self.df.sparkSession.sparkContext
+
+        def encoded(batches):
+            import pyarrow
+
+            for batch in batches:
+                yield pyarrow.RecordBatch.from_arrays([pyarrow.array([batch.serialize().to_pybytes()], pyarrow.binary())], ["data"])
+
         context.addJobTag(self.tag)
         try:
-            rows, names = [], self.df.columns
-            for row in self.df.toLocalIterator(prefetchPartitions=False):
+            for row in self.df.mapInArrow(encoded, "data binary").toLocalIterator(prefetchPartitions=False):
                 if self.cancelled or self.closed:
                     return
-                rows.append(tuple(row))
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-            if rows and names:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                yield pa.ipc.read_record_batch(pa.py_buffer(row["data"]), schema)
         finally:
             context.removeJobTag(self.tag)
 
