@@ -306,7 +306,7 @@ def test_dates_and_strings_skip_files(spark):
     rows = spark.sql("SELECT id, date_add(DATE '2024-01-01', CAST(id AS INT)) AS day, concat('n', lpad(id, 3, '0')) AS name FROM range(40)").selectExpr("CAST(id AS INT) AS id", "day", "name")
     t = DeltaFixture(spark, scratch(spark, "dates"), rows.schema.json())
     t.commit(*[a for k in range(4) for a in t.add(rows.where(f"id DIV 10 = {k}"), kinds=("date", "string"))])
-    for sql, n, touched in (("day >= DATE '2024-01-25'", 16, 2), ("day = DATE '2024-01-05'", 1, 1), ("name < 'n005'", 5, 1), ("name IN ('n011', 'n039')", 2, 3), ("DATE '2023-01-01' > day", 0, 0), ("upper(name) < 'A'", 0, 4)):
+    for sql, n, touched in (("day >= DATE '2024-01-25'", 16, 2), ("day = DATE '2024-01-05'", 1, 1), ("name < 'n005'", 5, 1), ("name IN ('n011', 'n039')", 2, 2), ("DATE '2023-01-01' > day", 0, 0), ("upper(name) < 'A'", 0, 4)):
         got, result = ask(spark, t, f"SELECT id FROM lake_table WHERE {sql}")
         assert (len(got), result.metrics.files_touched) == (n, touched), sql
 
