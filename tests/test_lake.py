@@ -328,3 +328,15 @@ def test_narrow_filters_and_names(spark):
     for sql in ("SELECT a FROM t WHERE a NOT IN (1)", "SELECT a FROM t WHERE a BETWEEN 1 AND 2", "SELECT a FROM t WHERE a = 1.5", "SELECT * FROM t", "SELECT COUNT(DISTINCT a) AS n FROM t", "SELECT SUM(a) FROM t", "SELECT a, SUM(b) AS s FROM t", "SELECT q.n FROM (SELECT COUNT(*) AS n FROM t) q", "SELECT a FROM t LIMIT 1 + 1"):
         with pytest.raises(QueryError):
             lowered(spark, sql, "t")
+
+
+def test_sessions_reuse_and_release_snapshots(spark):
+    t = DeltaFixture(spark, scratch(spark, "reuse"), frame(spark, ROWS).schema.json())
+    t.commit(*t.add(frame(spark, ROWS[:3])))
+    session = LakeSession(spark)
+    first = session.open_delta(t.root)
+    assert session.open_delta(t.root) is first and session.open_delta(t.root, 0) is first
+    t.commit(*t.add(frame(spark, ROWS[3:])))
+    second = session.open_delta(t.root)
+    assert second.version == 1 and session.execute("SELECT COUNT(*) AS n FROM lake_table").frame.first().n == 6
+    assert second.cached.storageLevel.useMemory and session.dispose("lake_table") and not second.cached.storageLevel.useMemory

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelake.contract import CapabilityKey, QueryError, QueryOptions, QueryRequest, ResultPage, RuntimeLimits, Target
 from tidelake.operators.control import RuntimeConfig, same_snapshot
-from tidelake.operators.session import LakeSession, bootstrap_table, execute_query
+from tidelake.operators.session import LakeSession, bootstrap_table, execute_query, measured
 from tidelake.plans.lowering import lowered
 from tidelake.sources import deltalog
 from tidelake.sources.fixture import DeltaFixture, scratch
@@ -83,6 +83,16 @@ def delta_stats_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, _parts(spark, sf_dir), PARTS)
 
 
+def executed_scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pruned query read, by its executed plan."""
+    session = LakeSession(spark)
+    session.open_delta(_parts(spark, sf_dir).root)
+    result = session.execute(PARTS.format(t="lake_table"))
+    kept = len(result.frame.collect())
+    run = measured(result.frame)
+    return spark.createDataFrame([(run.files_touched, run.rows_emitted, result.metrics.files_skipped, kept)], "files int, scanned int, skipped int, kept int")
+
+
 def delta_hidden_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, _parts(spark, sf_dir), HIDDEN)
 
@@ -314,7 +324,7 @@ def _values(rows, names: str) -> str:
 
 
 def queries() -> dict:
-    found = (target_verdicts, narrow_lowering, guard_verdicts, registered_rows, cursor_round_trip, delta_latest_snapshot, delta_time_travel, delta_partition_prune, delta_partition_in, delta_stats_skip, delta_hidden_alias, delta_swapped_alias, delta_date_and_text_skip, delta_checkpoint_replay, delta_self_join, delta_history, result_page_wrap, parquet_inspection, table_catalog)
+    found = (target_verdicts, narrow_lowering, guard_verdicts, registered_rows, cursor_round_trip, delta_latest_snapshot, delta_time_travel, delta_partition_prune, delta_partition_in, delta_stats_skip, executed_scan_metrics, delta_hidden_alias, delta_swapped_alias, delta_date_and_text_skip, delta_checkpoint_replay, delta_self_join, delta_history, result_page_wrap, parquet_inspection, table_catalog)
     return {f.__name__: f for f in found}
 
 
@@ -325,6 +335,7 @@ def oracle_sql() -> dict[str, str]:
         "delta_partition_prune": STATUS.format(t="orders"),
         "delta_partition_in": STATUSES.format(t="orders"),
         "delta_stats_skip": PARTS.format(t="part"),
+        "executed_scan_metrics": "SELECT 3 AS files, CAST(COUNT(*) FILTER (WHERE p_partkey >= 100) AS INT) AS scanned, 1 AS skipped, CAST(COUNT(*) FILTER (WHERE p_partkey >= 150 AND p_size < 40) AS INT) AS kept FROM part",
         "delta_hidden_alias": "SELECT COUNT(*) AS n FROM part",
         "delta_swapped_alias": "SELECT COUNT(*) AS n FROM part WHERE p_size >= 40",
         "delta_date_and_text_skip": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-03-01' AND CAST(o_orderdate AS DATE) < DATE '1997-01-01' AND o_orderpriority <= '3'",

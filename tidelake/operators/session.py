@@ -75,9 +75,12 @@ class LakeSession:
         """Pin a snapshot under ``name``; an equal one that is open already is reused."""
         clean = deltalog.normal_uri(uri)
         held = self.tables.get(name)
-        if held and held.snapshot and version is not None and (held.snapshot.uri, held.snapshot.version) == (clean, version):
-            self.tables.move_to_end(name)
-            return held.snapshot
+        if held and held.snapshot and held.snapshot.uri == clean and not allow and not deny:
+            with mapped():
+                wanted = deltalog.latest_version(clean, deltalog.log_listing(self.spark, clean)) if version is None else version
+            if held.snapshot.version == wanted:
+                self.tables.move_to_end(name)
+                return held.snapshot
         with mapped():
             snapshot = deltalog.resolve(self.spark, clean, version, allow, deny)
             size = snapshot.files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -111,7 +114,7 @@ class LakeSession:
             return False
         self.spark.catalog.dropTempView(name)
         if table.snapshot is not None:
-            table.snapshot.files.unpersist()
+            table.snapshot.release()
         return True
 
     def catalog(self) -> DataFrame:
@@ -244,7 +247,10 @@ def execute_query(spark: SparkSession, request: QueryRequest, config: RuntimeCon
     session = LakeSession(spark, config=config)
     snapshot = session.open_delta(request.table_uri, request.snapshot_version)
     control.same_snapshot(snapshot, request.table_uri, request.snapshot_version)
-    return session.execute(request.sql, options=request.options, target=request.preferred_target)
+    try:
+        return session.execute(request.sql, options=request.options, target=request.preferred_target)
+    finally:
+        snapshot.release()  # the query's scans hold the files that they need
 
 
 def collect_query(spark: SparkSession, request: QueryRequest, config: RuntimeConfig | None = None) -> list:
@@ -255,7 +261,20 @@ def collect_query(spark: SparkSession, request: QueryRequest, config: RuntimeCon
 
 def bootstrap_table(spark: SparkSession, uri: str) -> dict:
     snapshot = deltalog.resolve(spark, uri)
-    return {"uri": snapshot.uri, "version": snapshot.version, "active_files": snapshot.files.count()}
+    try:
+        return {"uri": snapshot.uri, "version": snapshot.version, "active_files": snapshot.files.count()}
+    finally:
+        snapshot.release()
+
+
+def measured(frame: DataFrame) -> ScanMetrics:
+    """What the scans of a query that has run did read, and the rows that they gave, from its executed plan."""
+    files = size = rows = 0
+    for metrics in jvm.scans_run(frame):
+        files += metrics.get("numFiles", 0)
+        size += metrics.get("filesSize", 0)
+        rows += metrics.get("numOutputRows", 0)
+    return ScanMetrics(files, 0, size, rows)
 
 
 def require(capabilities: dict[CapabilityKey, CapabilityState], needed: set[CapabilityKey], target: Target = Target.SESSION) -> None:

@@ -54,6 +54,24 @@ def optimized(df: DataFrame):
     return df._jdf.queryExecution().optimizedPlan()
 
 
+def scans_run(df: DataFrame) -> list[dict[str, int]]:
+    """The metrics of every file scan in the plan that ran, stages of adaptive execution included."""
+    found, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        kind = name(node)
+        if kind == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        elif kind == "FileSourceScanExec":
+            held = node.metrics()
+            found.append({k: held.apply(k).value() for k in ("numFiles", "filesSize", "numOutputRows") if held.contains(k)})
+        else:
+            waiting += items(node.children())
+    return found
+
+
 def explained(df: DataFrame) -> list[str]:
     return df._jdf.queryExecution().toString().splitlines()
 

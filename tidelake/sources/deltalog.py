@@ -44,6 +44,12 @@ class Snapshot:
     files: DataFrame  # path, size, partitionValues, stats; stored in Spark's cache
     capabilities: dict[CapabilityKey, CapabilityState]
     configuration: dict[str, str]
+    cached: DataFrame | None = None  # what ``files`` reads
+
+    def release(self) -> None:
+        """Drop the file rows from Spark's cache; they are read from the log again where they are needed."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
     @property
     def partition_types(self) -> dict[str, str]:
@@ -134,6 +140,20 @@ def _actions(spark: SparkSession, uri: str, log: dict[str, tuple[str, int]], tar
     return out
 
 
+def latest_version(uri: str, log: dict[str, tuple[str, int]] | None) -> int:
+    """The newest version that a log's listing holds."""
+    if not log:
+        raise QueryError(ErrorCode.OBJECT_NOT_FOUND, f"{uri} isn't a Delta table")
+    versions = [int(m[1]) for n in log if (m := COMMIT.fullmatch(n))] + list(checkpoints(list(log)))
+    if not versions:
+        raise QueryError(ErrorCode.OBJECT_NOT_FOUND, f"{uri} has no version 0")
+    return max(versions)
+
+
+def log_listing(spark: SparkSession, uri: str) -> dict[str, tuple[str, int]] | None:
+    return jvm.listing(spark, f"{uri}/_delta_log")
+
+
 def resolve(spark: SparkSession, uri: str, version: int | None = None, allow: set[str] | None = None, deny: set[str] | None = None) -> Snapshot:
     """The table at ``version`` (the latest, if None). Deny lists win over allow lists, before any read."""
     uri = normal_uri(uri)
@@ -141,13 +161,10 @@ def resolve(spark: SparkSession, uri: str, version: int | None = None, allow: se
         raise invalid("a snapshot version can't be negative")
     if (deny and uri in {normal_uri(u) for u in deny}) or (allow is not None and uri not in {normal_uri(u) for u in allow}):
         raise QueryError(ErrorCode.ACCESS_DENIED, f"policy doesn't allow {uri}")
-    log = jvm.listing(spark, f"{uri}/_delta_log")
-    if not log:
-        raise QueryError(ErrorCode.OBJECT_NOT_FOUND, f"{uri} isn't a Delta table")
-    versions = [int(m[1]) for n in log if (m := COMMIT.fullmatch(n))] + list(checkpoints(list(log)))
-    latest = max(versions, default=-1)
-    if latest < 0 or (version is not None and version > latest):
-        raise QueryError(ErrorCode.OBJECT_NOT_FOUND, f"{uri} has no version {version if version is not None else 0}")
+    log = log_listing(spark, uri)
+    latest = latest_version(uri, log)
+    if version is not None and version > latest:
+        raise QueryError(ErrorCode.OBJECT_NOT_FOUND, f"{uri} has no version {version}")
     target = latest if version is None else version
     actions = _actions(spark, uri, log, target)
     place = F.struct("version", "line")
@@ -161,7 +178,7 @@ def resolve(spark: SparkSession, uri: str, version: int | None = None, allow: se
     protocol = Protocol(p["minReaderVersion"] or 0, p["minWriterVersion"] or 0, frozenset(p["readerFeatures"] or ()), frozenset(p["writerFeatures"] or ()))
     properties = meta["configuration"] or {}
     report = capabilities(protocol, meta["schemaString"], properties, not files.where("dv").isEmpty())
-    return Snapshot(uri, target, T.StructType.fromJson(json.loads(meta["schemaString"])), tuple(meta["partitionColumns"] or ()), files.drop("dv"), report, properties)
+    return Snapshot(uri, target, T.StructType.fromJson(json.loads(meta["schemaString"])), tuple(meta["partitionColumns"] or ()), files.drop("dv"), report, properties, files)
 
 
 def attach_urls(files: DataFrame, urls: DataFrame) -> DataFrame:
