@@ -40,12 +40,11 @@ class ToxicityConfig:
     #: Bounds of the labelled sample that is fitted on the driver: the least ids by hash, for either label.
     max_toxic: int = 1500
     max_ordinary: int = 3000
-    #: Bytes of a window that is scored, and of one that dictionaries are trained on.
-    window: int = 128
-    trained_window: int = 256
+    #: Bytes of a window.
+    window: int = 256
     level: int = 9
     base_bytes: int = 98304
-    class_bytes: int = 8192
+    class_bytes: int = 12288
     #: Length of the segments that a class's dictionary is made of, and of the strings that they are chosen by.
     segment: int = 16
     gram: int = 8
@@ -87,7 +86,7 @@ def _dictionaries(toxic: list[str], plain: list[str], base: bytes, config: Toxic
         return [t for i, t in enumerate(texts) if i % config.pairs != j] or texts
 
     def own(texts: list[str], j: int) -> bytes:
-        return _trained(_cut(share(texts, j), config.trained_window), config.class_bytes, k=config.segment, d=config.gram)
+        return _trained(_cut(share(texts, j), config.window), config.class_bytes, k=config.segment, d=config.gram)
 
     return [(own(plain, j) + base, own(toxic, j) + base) for j in range(config.pairs)]
 
@@ -108,7 +107,7 @@ class ToxicityModel:
             return ToxicityModel([], None, config)
         weight = dict(zip(texts, weights))
         most = int(len(plain) * config.base_share)
-        base = _trained(_cut(plain[:most], config.trained_window), config.base_bytes)
+        base = _trained(_cut(plain[:most], config.window), config.base_bytes)
         plain = plain[most:]
         folds = max(1, min(config.folds, len(toxic), len(plain)))
         x, y, w = [], [], []
