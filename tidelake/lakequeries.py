@@ -16,6 +16,7 @@ from tidelake.plans.lowering import lowered
 from tidelake.sources import deltalog
 from tidelake.sources.fixture import DeltaFixture, scratch
 from tidelake.sources.inspect import inspect_parquet
+from tidelake.sources.ranges import plan_requests
 
 PART = ("p_partkey", "p_brand", "p_size")
 SEGMENTS = "SELECT c_mktsegment, COUNT(*) AS n, CAST(SUM(c_nationkey) AS BIGINT) AS keys FROM {t} GROUP BY c_mktsegment"
@@ -93,6 +94,28 @@ def executed_scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(run.files_touched, run.rows_emitted, result.metrics.files_skipped, kept)], "files int, scanned int, skipped int, kept int")
 
 
+#: Wanted byte ranges by file, and the requests that read them.
+WANTED = {
+    "touching": [(0, 100), (100, 250), (50, 120)],
+    "gap in bounds": [(0, 65_536), (81_920, 200_000)],
+    "gap too wide": [(0, 65_536), (81_921, 200_000)],
+    "too much waste": [(0, 1_000), (2_000, 3_000)],
+    "many gaps": [(k * 100_000, k * 100_000 + 86_000) for k in range(6)],
+    "request too long": [(0, 300_000), (310_000, 524_288), (524_300, 600_000)],
+    "past the end": [(0, 10), (20, 2_000_000)],
+}
+REQUESTS = [
+    ("touching", 0, 250, 250, 3), ("gap in bounds", 0, 200_000, 183_616, 2), ("gap too wide", 0, 65_536, 65_536, 1), ("gap too wide", 81_921, 200_000, 118_079, 1),
+    ("too much waste", 0, 1_000, 1_000, 1), ("too much waste", 2_000, 3_000, 1_000, 1), ("many gaps", 0, 486_000, 430_000, 5), ("many gaps", 500_000, 586_000, 86_000, 1),
+    ("request too long", 0, 524_288, 514_288, 2), ("request too long", 524_300, 600_000, 75_700, 1), ("past the end", 0, 10, 10, 1), ("past the end", 20, 2_000_000, 1_999_980, 1),
+]
+
+
+def range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(file, a, b, 1_000_000) for file, own in WANTED.items() for a, b in own]
+    return plan_requests(spark.createDataFrame(rows, "file string, start long, end long, size long"))
+
+
 def delta_hidden_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, _parts(spark, sf_dir), HIDDEN)
 
@@ -324,7 +347,7 @@ def _values(rows, names: str) -> str:
 
 
 def queries() -> dict:
-    found = (target_verdicts, narrow_lowering, guard_verdicts, registered_rows, cursor_round_trip, delta_latest_snapshot, delta_time_travel, delta_partition_prune, delta_partition_in, delta_stats_skip, executed_scan_metrics, delta_hidden_alias, delta_swapped_alias, delta_date_and_text_skip, delta_checkpoint_replay, delta_self_join, delta_history, result_page_wrap, parquet_inspection, table_catalog)
+    found = (target_verdicts, narrow_lowering, guard_verdicts, registered_rows, cursor_round_trip, delta_latest_snapshot, delta_time_travel, delta_partition_prune, delta_partition_in, delta_stats_skip, executed_scan_metrics, range_requests, delta_hidden_alias, delta_swapped_alias, delta_date_and_text_skip, delta_checkpoint_replay, delta_self_join, delta_history, result_page_wrap, parquet_inspection, table_catalog)
     return {f.__name__: f for f in found}
 
 
@@ -335,6 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "delta_partition_prune": STATUS.format(t="orders"),
         "delta_partition_in": STATUSES.format(t="orders"),
         "delta_stats_skip": PARTS.format(t="part"),
+        "range_requests": _values(REQUESTS, 'file, "start", "end", wanted_bytes, ranges').replace(" AS INT)", " AS BIGINT)"),
         "executed_scan_metrics": "SELECT 3 AS files, CAST(COUNT(*) FILTER (WHERE p_partkey >= 100) AS INT) AS scanned, 1 AS skipped, CAST(COUNT(*) FILTER (WHERE p_partkey >= 150 AND p_size < 40) AS INT) AS kept FROM part",
         "delta_hidden_alias": "SELECT COUNT(*) AS n FROM part",
         "delta_swapped_alias": "SELECT COUNT(*) AS n FROM part WHERE p_size >= 40",
