@@ -41,10 +41,10 @@ class ToxicityConfig:
     max_toxic: int = 1500
     max_ordinary: int = 3000
     #: Bytes of a window.
-    window: int = 256
+    window: int = 128
     level: int = 9
     base_bytes: int = 98304
-    class_bytes: int = 12288
+    class_bytes: int = 8192
     #: Length of the segments that a class's dictionary is made of, and of the strings that they are chosen by.
     segment: int = 16
     gram: int = 8
