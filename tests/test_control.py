@@ -82,3 +82,18 @@ def test_columns(spark):
     got = df.select(C.integer_divide(F.col("v"), F.lit(2)).alias("d"), C.distinct_from(F.col("v"), F.lit(7)).alias("x")).collect()
     assert [(r.d, r.x) for r in got] == [(None, True), (3, False), (-3, True)]
     assert spark.createDataFrame([("ab",), ("b",)], "s string").where(C.similar_to("s", "a_")).count() == 1
+
+
+def test_overfetch_and_preview_limits(spark):
+    from tidelake.contract import RuntimeLimits
+    from tidelake.sources.ranges import requests, within_overfetch
+    from tidelake.streaming.cursor import preview
+
+    plan = requests([(0, 65_536), (81_920, 200_000)])
+    assert within_overfetch(plan, RuntimeLimits()) == 16_384
+    with pytest.raises(QueryError):
+        within_overfetch(plan, RuntimeLimits(max_scan_overfetch_bytes=16_383))
+    with pytest.raises(QueryError):
+        requests([(5, 4)])
+    frame = spark.range(5)
+    assert len(preview(frame, limits=RuntimeLimits(max_preview_string_bytes=2)).rows) == 2

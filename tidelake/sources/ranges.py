@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidelake.contract import invalid
+from tidelake.contract import ErrorCode, QueryError, Resource, RuntimeLimits, invalid
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,14 @@ def requests(wanted: list[tuple[int, int]], size: int | None = None, policy: Ran
     return [tuple(p) for p in plan]
 
 
+def within_overfetch(plan: list[tuple[int, int, int, int]], limits: RuntimeLimits) -> int:
+    """Bytes that the requests read beyond what is wanted; raises above the limit."""
+    extra = sum(end - start - wanted for start, end, wanted, _ in plan)
+    if limits.max_scan_overfetch_bytes is not None and extra > limits.max_scan_overfetch_bytes:
+        raise QueryError(ErrorCode.RESOURCE_EXHAUSTED, f"the requests read {extra} bytes too many; the limit is {limits.max_scan_overfetch_bytes}", resource=Resource.SCAN_BYTES)
+    return extra
+
+
 def plan_requests(ranges: DataFrame, policy: RangePolicy = RangePolicy()) -> DataFrame:
     """file, start, end, wanted_bytes, ranges: the requests for ``ranges`` (file, start, end, size), file by file."""
 

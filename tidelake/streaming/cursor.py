@@ -116,8 +116,10 @@ class Preview:
     truncated: bool
 
 
-def preview(df: DataFrame, rows: int = 100, string_bytes: int = 65536) -> Preview:
-    """The first rows as text, within a row and a byte budget."""
+def preview(df: DataFrame, rows: int = 100, string_bytes: int = 65536, limits: RuntimeLimits = RuntimeLimits()) -> Preview:
+    """The first rows as text, within a row and a byte budget; the limits can only tighten the latter."""
+    if limits.max_preview_string_bytes is not None:
+        string_bytes = min(string_bytes, limits.max_preview_string_bytes)
     got, used, cut = [], 0, False
     first = df.limit(rows + 1).collect()
     for row in first[:rows]:
