@@ -38,19 +38,19 @@ class PackingConfig:
     capacity: int = 1024
     end_id: int = 2
     #: Rounds of multiplicative weights (at most one a sequence), and the configurations traced from one round's prices.
-    rounds: int = 2500
+    rounds: int = 1500
     traces: int = 20
     #: How fast a length gets cheaper as it is covered.
     step: float = 0.5
     #: Share of a sequence by which a piece may miss the dearest one in a trace, so that the traces of a round differ.
     slack: float = 0.001
     #: Times that the program is solved, and the share of each solution that is rounded; it must fill sequences exactly.
-    passes: int = 3
+    passes: int = 2
     share: float = 0.8
     #: Pieces of one length that are numbered together.
     group_rows: int = 250
     #: Different words whose tokens a worker remembers.
-    cached_words: int = 100_000
+    cached_words: int = 400_000
 
 
 # ---------------------------------------------------------------- tokens
