@@ -244,12 +244,16 @@ def _nearest_exact(vectors: np.ndarray, own: np.ndarray, score: np.ndarray, leas
         rows, far = rows[best], far[best]
         return min(reach, far[-1]) if len(far) == config.k else reach
 
-    keep = min(max(config.rerank, config.k), len(own))
-    first = np.argpartition(score, keep - 1)[:keep]
-    edge = measure(first)
-    open_ = ~(least > edge**2 * (1 + 1e-12))
-    open_[first] = False
-    left = np.flatnonzero(open_)
+    def within(places: np.ndarray, edge: float) -> np.ndarray:
+        return places[~(least[places] > edge**2 * (1 + 1e-12))]
+
+    open_ = within(np.arange(len(own)), reach)
+    if not len(open_):
+        return rows, far
+    keep = min(max(config.rerank, config.k), len(open_))
+    order = np.argpartition(score[open_], keep - 1)
+    edge = measure(open_[order[:keep]])
+    left = within(open_[order[keep:]], edge)
     left = left[np.argsort(least[left])]
     for a in range(0, len(left), 4096):
         if least[left[a]] > edge**2 * (1 + 1e-12):
@@ -258,11 +262,15 @@ def _nearest_exact(vectors: np.ndarray, own: np.ndarray, score: np.ndarray, leas
     return rows, far
 
 
+def _frame(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts)))))
+
+
 def _search_block(rows: pd.DataFrame, asked: pd.DataFrame, centres: np.ndarray, codes: AnisotropicCodes, config: AnnConfig) -> pd.DataFrame:
     """query_id, vec_id, score of the nearest rows of one block of a cell, for one block of queries."""
-    out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     if not len(rows) or not len(asked):
-        return out[0]
+        return _frame(out)
     own, (length, along, rest) = rows["vec_id"].to_numpy(), (rows[c].to_numpy() for c in ("length", "along", "rest"))
     norm = along**2 + rest**2
     code = unpack_nibbles(np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1), len(codes.books)).astype(np.intp)
@@ -279,8 +287,8 @@ def _search_block(rows: pd.DataFrame, asked: pd.DataFrame, centres: np.ndarray,
         for q in range(len(table)):
             least = _least_squares(product[q].astype(np.float64), slack[q], (moved[a + q] ** 2).sum(), length, along, rest)
             near, far = _nearest_exact(vectors, own, norm / 2 - product[q], least, ids[a + q], queries[a + q], reach[a + q], config)
-            out.append(pd.DataFrame({"query_id": np.full(len(near), ids[a + q]), "vec_id": own[near], "score": far}))
-    return pd.concat(out)
+            out.append((np.full(len(near), ids[a + q]), own[near], far))
+    return _frame(out)
 
 
 def _search(index: DataFrame, sizes: DataFrame, probes: DataFrame, centres: np.ndarray, codes: AnisotropicCodes, config: AnnConfig) -> DataFrame:
