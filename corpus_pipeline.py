@@ -19,7 +19,7 @@ from tidelake.llm.common import as_table, fold_of, load, whole_row
 from tidelake.llm.langid import fit_languages
 from tidelake.llm.mixing import mix
 from tidelake.llm.neardup import drop_near_duplicates
-from tidelake.llm.packing import pack_documents
+from tidelake.llm.packing import PackingConfig, pack_documents
 from tidelake.llm.queries import tokenizer_file
 from tidelake.llm.secrets import redact
 
@@ -56,8 +56,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
-    return pack_documents(docs, tokenizer_file())
+    """The pieces of the training sequences. Its workers have run the other stages too, so they remember fewer words."""
+    return pack_documents(docs, tokenizer_file(), config=PackingConfig(cached_words=100_000))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
